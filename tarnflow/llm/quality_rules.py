@@ -95,7 +95,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 
 ORACLE = r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, row_number() OVER () AS rid FROM documents),
-w AS (SELECT rid, doc_id, source, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+w AS (SELECT rid, doc_id, source, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 p AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
 c AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM p) GROUP BY rid),
