@@ -24,8 +24,9 @@ from .token_counts import Slots
 #: Order of the model; bits of a character's class in an n-gram's number, the newest character lowest. Class 0 stands
 #: before a text; characters from 4000 on share 95 classes.
 ORDER, BITS, WIDE, SHARED = 5, 12, 4000, 95
-#: Kept up to SLACK times this quantile of the trusted texts' perplexities.
-QUANTILE, SLACK, ACCURACY = 0.9, 1.25, 10_000
+#: Kept up to SLACK times this quantile of the trusted texts' perplexities; times e to SHORT / sqrt(characters), as the
+#: perplexity of a short text scatters.
+QUANTILE, SLACK, SHORT, ACCURACY = 0.9, 1.2, 1.5, 10_000
 #: A table of more rows is not sent to the executors (16 bytes each).
 SMALL = 3_000_000
 CLASSES = WIDE + SHARED + 1
@@ -208,5 +209,5 @@ def quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: s
     scored = stash(perplexities(docs, stash(train(texts)), doc_id, text, lang))
     limits = scored.join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, ACCURACY) * slack).alias("limit"))
     out = scored.join(F.broadcast(limits), "lang", "left")
-    kept = (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
+    kept = (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("limit") * F.exp(SHORT / F.sqrt("n_chars")), F.lit(True))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "limit", kept.alias("kept"))

@@ -38,19 +38,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         fps = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "tag": pdf["tag"], "fp": fps})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "t": pdf["t"], "tag": pdf["tag"], "fp": fps})
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: doc_id, tag, fp (long), fingerprint (16 hex digits), component_id, kept.
+    """One row per row of docs: doc_id, t (a hash of the text), tag, fp (long), fingerprint (16 hex digits), component_id, kept.
 
     component_id is the smallest doc_id that is reached over links, the row's own included; null ids are ignored there
     unless a component has no other. Texts that are null or have no word have fingerprint zero and are linked like any
     other. Exactly one row of each component is kept: the first of its smallest doc_id. Other columns are not read. An
     empty table gives an empty result. tag numbers the rows of the written fingerprints.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("tag"))
-    rows = stash(rows.mapInPandas(_fingerprints, "doc_id long, tag long, fp long"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.monotonically_increasing_id().alias("tag"))
+    rows = stash(rows.mapInPandas(_fingerprints, "doc_id long, t long, tag long, fp long"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     distinct = stash(rows.groupBy("fp").agg(F.min(rank).alias("first")))
     linked = components(near_fingerprints(distinct, radius))
@@ -58,15 +58,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     heads = member.groupBy("c").agg(F.min("first").alias("head"))
     heads = member.join(heads, "c").select(F.col("fp").alias("f"), "head")
     return rows.join(heads, F.col("fp") == F.col("f")).select(
-        "doc_id", "tag", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "doc_id", "t", "tag", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("head.doc_id").alias("component_id"), (F.col("tag") == F.col("head.tag")).alias("kept"),
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their component; columns as given. Rows that repeat a doc_id are told apart
-    by their text; of exact repeats one stays."""
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_near_id"), F.col("fp").alias("_near_fp")).distinct()
-    ids = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return ids.withColumn("_near_n", F.row_number().over(one)).where("_near_n = 1").drop("_near_n")
+    """The rows of docs that are the first of their component; columns as given. Of rows that repeat a doc_id and text one
+    stays."""
+    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_near_id"), F.col("t").alias("_near_t"))
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("_near_text", t).join(found, (F.col("_near_text") == F.col("_near_t")) & F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi")
+    one = Window.partitionBy("doc_id", "_near_text").orderBy(F.lit(0))
+    return rows.withColumn("_near_n", F.row_number().over(one)).where("_near_n = 1").drop("_near_n", "_near_text")
