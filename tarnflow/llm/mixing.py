@@ -17,8 +17,9 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     """sources (source, source_size) with their target: weight times one water level, or max_epochs times the size where
     that is less. The level is the one at which the targets sum to share of all sizes.
 
-    Sources fill up in order of cap / weight. If those up to a source are full, the others share the rest by weight; the
-    level is the first such share that fills no further source. One row per source: the table is tiny.
+    Sources fill up in order of cap / weight. If those before a source are full, the others share the rest by weight. That
+    share rises while it fills a further source and falls after; the level is the highest. One row per source: the
+    table is tiny.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     at = (F.row_number().over(order) - 1) % len(weights)
@@ -30,9 +31,8 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
         "open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     level = (F.sum("source_size").over(every) * F.lit(share) - F.col("full")) / F.col("open")
-    s = s.withColumn("level", level)
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every))
-    return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    s = s.withColumn("level", level).withColumn("level", F.max("level").over(every))
+    return s.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
 def mixture(docs: DataFrame, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (), **fill) -> DataFrame:
@@ -93,7 +93,7 @@ f AS (SELECT *, source_size * 2.0::DOUBLE AS cap,
         coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
         sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
         sum(source_size) OVER () * 1.5::DOUBLE AS want FROM s),
-l AS (SELECT min((want - filled) / room) AS level FROM f WHERE (want - filled) / room <= cap / weight),
+l AS (SELECT max((want - filled) / room) AS level FROM f),
 t AS (SELECT source, source_size, least(cap, level * weight) AS target, CASE WHEN source_size > 0 THEN CAST(floor(least(cap, level * weight) / source_size) AS BIGINT) ELSE 0 END AS whole FROM f, l),
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS extra,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY digest, d.size ROWS UNBOUNDED PRECEDING) AS upto,
