@@ -1,7 +1,10 @@
-"""All registered queries of the drainage engine."""
+"""All registered queries of the drainage engine and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
 FLAGSHIP = "delineate_area"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
