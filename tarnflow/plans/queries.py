@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import spatial
-from ..operators import dissolve, raster, resolve, traverse, validate
-from ..sources.derived import STEPS, Derived
+from ..operators import assemble, dissolve, raster, resolve, traverse, validate
+from ..sources.derived import DEGREES, STEPS, Derived
 from ..sources.scratch import written
 
 RADIUS, WINDOW_ROWS, TILE = 60, 8192, 5
@@ -287,10 +287,16 @@ def largest_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delineate_area(spark, sf_dir).join(nation, "outlet_id").withColumn("place", F.row_number().over(w)).where("place = 1").select("nation", "outlet_id", "units", "area")
 
 
+def basin_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every terminal's dissolved basin: geometry, geodesic area and bounds."""
+    return assemble.assemble(_outline(Derived(spark, sf_dir)), "terminal", DEGREES)
+
+
 NAMES = [
     select_level, levels, edge_list, bbox_scan, id_lookup, search_bbox, snap_candidates, snap_weight_first, snap_distance_first, pip_strict, pip_boundary_tiebreak, resolve_status,
     upstream_tree, upstream_dag, bfs_rank, same_level_violation, pre_merge, terminal_override, dissolve_boundary, dissolve_planar_area, delineate_area, morton, hilbert, d8_decode,
     pixel_coord, rasterize, mask, snap_pour_point, trace_upstream, polygonize_edges, d8_select, validate_counts, validate_membership, validate_levels, validate_dangling,
     validate_snaps, basin_id_check, default_label, row_group_plan, duplicate_rows, dataset_bbox, envelope, basin_sizes_by_arrival, largest_basins,
+    basin_geometry,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
