@@ -190,6 +190,6 @@ def canonical(polygons: list[Polygon], digits: int = 6) -> list[Polygon]:
 def outward(low: float, high: float) -> tuple[float, float]:
     """Bounds cut to 32 bits without losing anything between them."""
     a, b = np.float32(low), np.float32(high)
-    a = np.nextafter(a, np.float32(-np.inf)) if a > low else a
-    b = np.nextafter(b, np.float32(np.inf)) if b < high else b
+    a = np.nextafter(a, np.float32(-np.inf)) if float(a) > low else a
+    b = np.nextafter(b, np.float32(np.inf)) if float(b) < high else b
     return float(a), float(b)
