@@ -97,15 +97,29 @@ def train(texts: DataFrame) -> DataFrame:
     return out
 
 
+def gathered(model: DataFrame) -> dict[tuple[str, int, str], tuple[np.ndarray, np.ndarray]]:
+    """The keys and values of the table by language, order and kind, as arrays: 12 bytes a row."""
+    langs = sorted(r[0] for r in model.select("lang").distinct().collect())
+    kinds = [(x, k, kind) for x in langs for k in range(1, ORDER + 1) for kind in "pb"]
+    out = {}
+    for x in langs:
+        number = ((F.col("order") - 1) * 2 + F.when(F.col("kind") == "b", 1).otherwise(0)).alias("number")
+        got = model.where(F.col("lang") == x).select(number, "key", "value").toArrow()
+        number, key, value = (got.column(c).to_numpy() for c in ("number", "key", "value"))
+        for i, kind in enumerate(k for k in kinds if k[0] == x):
+            out[kind] = key[number == i], value[number == i].astype(np.float32)
+    return out
+
+
 class Scorer:
     """The table in memory, as hash tables by language."""
 
-    def __init__(self, table: pd.DataFrame):
+    def __init__(self, arrays: dict[tuple[str, int, str], tuple[np.ndarray, np.ndarray]]):
         self.tables: dict[str, dict] = {}
-        for (lang, order, kind), part in table.groupby(["lang", "order", "kind"]):
-            slots = Slots(max(4, int(np.ceil(np.log2(2 * len(part) + 1)))))
-            slots.add(part["key"].to_numpy(), np.arange(len(part), dtype=np.int32))
-            self.tables.setdefault(lang, {})[order, kind] = slots, part["value"].to_numpy(np.float64)
+        for (lang, order, kind), (key, value) in arrays.items():
+            slots = Slots(max(4, int(np.ceil(np.log2(2 * len(key) + 1)))))
+            slots.add(key, np.arange(len(key), dtype=np.int32))
+            self.tables.setdefault(lang, {})[order, kind] = slots, value.astype(np.float64)
 
     def log_likelihoods(self, lang: str, texts: list[str]) -> np.ndarray | None:
         """The log probability of each text's characters together; None if the language has no model."""
@@ -188,7 +202,7 @@ def perplexities(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.char_length(t).cast("long").alias("n_chars"), t.alias("text"))
     if model.count() <= limit:
-        shared = docs.sparkSession.sparkContext.broadcast(model.toPandas())
+        shared = docs.sparkSession.sparkContext.broadcast(gathered(model))
         scored = rows.mapInPandas(_score(shared, f"{id(shared)}-{np.random.default_rng().integers(1 << 60)}"), "doc_id long, lang string, n_chars long, total double")
     else:
         rows = rows.withColumn("tag", F.monotonically_increasing_id())
