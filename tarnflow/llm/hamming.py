@@ -141,7 +141,8 @@ def near_fingerprints(fps: DataFrame, radius: int = 3, part: str | None = None,
     n = rows.count()
     blocks = next(b for most, b in SCHEMES if most is None or n <= most)
     dealt = _dealt(rows, blocks, radius)
-    if n > hot:
+    if n > hot and _dealt(rows.select("fp"), blocks, blocks - 1).groupBy("k", "v").count().where(F.col("count") > hot).limit(1).count():
+        # Some block alone has a crowded value; else no choice of blocks can have one.
         crowded = stash(dealt.groupBy("k", "v").count().where(F.col("count") > hot).select("k", "v"))
         if crowded.limit(1).count():
             again = dealt.join(crowded, ["k", "v"], "left_semi").select(*rows.columns).distinct()
