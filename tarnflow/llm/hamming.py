@@ -89,9 +89,8 @@ def _bucket_stream(radius: int, with_part: bool):
             if not last:  # the last bucket may go on in the next batch
                 rest, starts, ends = pdf.iloc[starts[-1] :], starts[:-1], ends[:-1]
             out_a, out_b = [], []
-            for s, e in zip(starts, ends, strict=True):
-                if e - s < 2:
-                    continue
+            shared = np.flatnonzero(ends - starts > 1)
+            for s, e in zip(starts[shared].tolist(), ends[shared].tolist(), strict=True):
                 u = f[s:e].view(np.uint64)
                 part = pdf["part"].to_numpy()[s:e] if with_part else None
                 a, b = bucket_pairs(u, radius, part)
