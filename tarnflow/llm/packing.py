@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents, with bounds that certify the number of sequences.
 
 Pieces are dealt into small partitions, each packed by best-fit decreasing. Dual-feasible functions bound from below the
-sequences that a partition needs; one that meets its bound is certified and settled. The others release their sequences
-with room; these are dealt anew, so that partitions exchange documents, and packed again.
+sequences that a partition needs. One that meets its bound is certified and releases only its sequences that are far from
+full; the others release all with room. These are dealt anew, so that partitions exchange documents, and packed again.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ CAPACITY, SEPARATOR = 2048, 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces in a partition, on average, and rounds of exchange at most.
 PARTITION, ROUNDS = 4096, 5
+#: A certified partition settles sequences that are at least so full.
+FILLED = 0.95
 _RUN = re.compile(r"\s\s")
 
 
@@ -140,9 +142,9 @@ def _pack_partition(capacity: int):
             bins, offsets = pd.factorize(pdf["bin"])[0], pdf["at"].to_numpy()
         first = np.zeros(bins.max() + 1, np.int64)
         first[bins[offsets == 0]] = items[offsets == 0]
-        full = np.bincount(bins, lengths) >= capacity
+        fill = np.bincount(bins, lengths)
         gap = len(first) > bin_bound(lengths, capacity)
-        return pd.DataFrame({"item": items, "length": lengths, "bin": first[bins], "at": offsets, "open": gap & ~full[bins]})
+        return pd.DataFrame({"item": items, "length": lengths, "bin": first[bins], "at": offsets, "open": (fill < (capacity if gap else FILLED * capacity))[bins]})
 
     return run
 
@@ -155,19 +157,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION
     schema = "item long, length long, bin long, at long, open boolean"
     settled = pieces.where(F.col("length") >= capacity).select(F.col("_item").alias("item"), F.col("_item").alias("bin"), F.lit(0).cast("long").alias("at"))
     todo = pieces.where(F.col("length") < capacity).select(F.col("_item").alias("item"), "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("at"))
-    n, bins = todo.count(), None
+    n = todo.count()
     for i in range(rounds):
         if not n:
             break
-        groups = -(-n // partition)
+        groups = -(-n // (partition << i))  # what is left meets in ever larger partitions
         key = F.pmod(F.xxhash64(F.lit(i), F.coalesce("bin", "item")), F.lit(groups))
         done = stash(todo.withColumn("group", key).groupBy("group").applyInPandas(_pack_partition(capacity), schema))
         settled = settled.unionByName(done.where("not open").select("item", "bin", "at"))
         todo = done.where("open").select("item", "length", "bin", "at")
-        now = todo.agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("bins")).first()
-        n, stuck = now["n"], bins is not None and now["bins"] >= bins
-        bins = now["bins"]
-        if groups == 1 or stuck:
+        n = todo.count()
+        if groups == 1:
             break
     plan = settled.unionByName(todo.select("item", "bin", "at")).select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     rest = pieces.drop("sequence_id", "offset")
