@@ -303,6 +303,27 @@ def test_line_dedup(spark):
         assert left[i] == "\n".join(x for j, x in enumerate(t.split("\n")) if j not in {p for p, _ in want.get(i, [])})
 
 
+def test_line_dedup_links_what_edit_similarity_links(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrst"), n))
+    base = [[word(k) for k in rng.integers(2, 9, n)] for n in (5, 7, 9, 12, 16, 20, 25, 30, 40, 60) for _ in range(12)]
+    lines, texts = [" ".join(w) for w in base], []
+    for w in base:
+        w, k = list(w), rng.integers(len(w))
+        w[k] = w[k][:1] + "z" + w[k][1:]  # one letter more
+        texts.append(" ".join(w))
+        for k in rng.choice(len(w), len(w) // 10, replace=False):
+            w[k] = word(len(w[k]))
+        texts.append(" ".join(w))
+    similar = [i for i, t in enumerate(texts) if distance(t, lines[i // 2]) <= 0.2 * max(len(t), len(lines[i // 2]))]
+    docs = [*enumerate(lines), *((1000 + i, t) for i, t in enumerate(texts))]
+    got = {r.doc_id: r.kept_in for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.n_removed}
+    assert all(kept == [(i - 1000) // 2] for i, kept in got.items())  # no line goes for an unlike one
+    found = [i for i in similar if 1000 + i in got]
+    assert len(similar) > 220 and len(found) >= 0.97 * len(similar), (len(found), len(similar))
+
+
+
 def plain_phrases(text, sample):
     n = i = 0
     while i < len(text):
