@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry
 from ..sources.fabric import Fabric
-from . import resolve, traverse
+from . import assemble, dissolve, resolve, traverse
 
 
 class DelineationError(Exception):
@@ -106,27 +106,29 @@ def resolve_on_snaps(outlets: DataFrame, snaps: DataFrame, options: Options) ->
     return hits.groupBy("outlet_id").agg(F.min_by(F.struct("unit_id", "snap_id"), order).alias("b")).select("outlet_id", "b.unit_id", F.concat(F.lit("snap:"), F.col("b.snap_id")).alias("method"))
 
 
-def _dissolved(fill: bool):
-    """Union of units whose shared borders have the same points: sides that two units share in opposite directions cancel."""
+def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The directed sides x1, y1, x2, y2 of each unit, in degrees."""
+    for pdf in batches:
+        for terminal, data in zip(pdf["terminal"], pdf["geometry"], strict=True):
+            sides = [(*a, *b) for p in geometry.canonical(geometry.from_wkb(data), 12) for r in p for a, b in zip(r, r[1:], strict=False)]
+            yield pd.DataFrame(np.array(sides, float).reshape(-1, 4), columns=["x1", "y1", "x2", "y2"]).assign(terminal=terminal)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges: dict[tuple, int] = {}
-        for data in pdf["geometry"]:
-            for p in geometry.canonical(geometry.from_wkb(data), 12):
-                for r in p:
-                    for a, b in zip(r, r[1:], strict=False):
-                        if edges.pop((b, a), None) is None:
-                            edges[a, b] = 1
-        polygons = geometry.polygons_of_rings(geometry.rings_of_edges(np.array([[*a, *b] for a, b in edges])))
-        polygons = geometry.canonical(geometry.fill_holes(polygons) if fill else polygons)
-        return pd.DataFrame({"terminal": pdf["terminal"].iloc[:1], "geometry": [geometry.to_wkb(polygons)], "area_km2": [geometry.geodesic_area(polygons)]})
 
-    return run
+def _dissolved(parts: DataFrame, fill: bool) -> DataFrame:
+    """terminal, geometry, area_km2, clash of the union of parts (terminal, geometry), whose shared borders have the same points:
+    sides that two units share in opposite directions cancel. A side that two units have in the same direction is a clash
+    (they overlap): such a basin has no geometry."""
+    sides = parts.mapInPandas(_sides, "x1 double, y1 double, x2 double, y2 double, terminal long")
+    twice = sides.groupBy("terminal", "x1", "y1", "x2", "y2").count().where("count > 1").select("terminal", F.lit(True).alias("clash")).distinct()
+    outline = dissolve.boundary(sides, ["terminal"]).join(twice, "terminal", "left_anti")
+    shapes = assemble.assemble(outline, "terminal", 1.0, fill).select("terminal", "geometry", "area_km2")
+    return shapes.join(twice, "terminal", "full")
 
 
 def delineate_batch(fabric: Fabric, outlets: DataFrame, options: Options | None = None) -> DataFrame:
     """outlets (outlet_id, lat, lon) with status, terminal, method, upstream_unit_ids (breadth-first), geometry (WKB) and
-    area_km2. An outlet that cannot be resolved has a status other than Resolved and nulls. Basins of one terminal are made once."""
+    area_km2. An outlet that cannot be resolved has a status other than Resolved and nulls; one whose
+    units overlap (UnitsOverlap) has no geometry and area. Basins of one terminal are made once."""
     options = options or Options()
     level = resolve.select_level(fabric.units)
     units = fabric.units.join(F.broadcast(level), "level", "left_semi")
@@ -140,10 +142,10 @@ def delineate_batch(fabric: Fabric, outlets: DataFrame, options: Options | None
     basin = traverse.upstream(found.select(F.col("unit_id").alias("terminal")), edges, ranked=True)
     order = basin.groupBy("terminal").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "unit"))), lambda x: x["unit"]).alias("upstream_unit_ids"))
     parts = basin.join(units.select(F.col("id").alias("unit"), "geometry"), "unit").select("terminal", "geometry")
-    shapes = parts.groupBy("terminal").applyInPandas(_dissolved(options.fill_holes), "terminal long, geometry binary, area_km2 double")
+    shapes = _dissolved(parts, options.fill_holes)
     out = outlets.join(found.withColumnRenamed("unit_id", "terminal"), "outlet_id", "left").join(order, "terminal", "left").join(shapes, "terminal", "left")
     failed = "NoSnapCandidates" if snaps is not None else "OutsideAllCatchments"
-    status = F.when(F.col("terminal").isNull(), failed).otherwise("Resolved")
+    status = F.when(F.col("terminal").isNull(), failed).when(F.col("clash"), "UnitsOverlap").otherwise("Resolved")
     return out.select("outlet_id", "lat", "lon", status.alias("status"), "terminal", "method", "upstream_unit_ids", "geometry", "area_km2")
 
 

@@ -9,6 +9,7 @@ import pytest
 
 from tarnflow.__main__ import main
 from tarnflow.functions import geometry
+from tarnflow.operators import delineate
 from tarnflow.operators.delineate import DelineationError, Options, collect_or_raise, delineate_batch
 from tarnflow.sources.export import ExportError, basin_rows, default_label, features, write_basins
 from tarnflow.sources.fabric import Fabric, FabricError, check_source, parse_manifest, read_outlets
@@ -63,6 +64,18 @@ def test_delineate(spark, dataset):
         collect_or_raise(delineate_batch(fabric, outlets(spark, (9, 9))))
 
 
+def test_dissolve_finds_overlaps_and_keeps_only_the_outline_in_a_group(spark, monkeypatch):
+    rows = [(7, geometry.to_wkb([[box(x, y, x + 1, y + 1)]])) for x in range(12) for y in range(12)]
+    rows += [(8, geometry.to_wkb([[box(*b)]])) for b in ((0, 0, 1, 1), (1, 0, 2, 1), (1, 0, 2, 1))]
+    seen = []
+    real = delineate.assemble.assemble
+    monkeypatch.setattr(delineate.assemble, "assemble", lambda outline, *a: seen.append(outline) or real(outline, *a))
+    got = {r.terminal: r for r in delineate._dissolved(spark.createDataFrame(rows, "terminal long, geometry binary"), True).collect()}
+    assert seen[0].count() == 48  # of 576 sides
+    assert not got[7].clash and got[7].area_km2 == pytest.approx(geometry.geodesic_area([[box(0, 0, 12, 12)]]), rel=1e-3)
+    assert got[8].clash and got[8].geometry is None and got[8].area_km2 is None
+
+
 @pytest.mark.parametrize(("strategy", "terminal"), [("weight-first", 2), ("distance-first", 1)])
 def test_snap_strategies(spark, tmp_path, strategy, terminal):
     fabric = Fabric.open(spark, str(write_dataset(tmp_path, snaps=True)))
