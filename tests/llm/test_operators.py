@@ -323,6 +323,13 @@ def test_line_dedup_links_what_edit_similarity_links(spark):
     assert len(similar) > 220 and len(found) >= 0.97 * len(similar), (len(found), len(similar))
 
 
+def test_line_dedup_removes_short_copies(spark):
+    cjk = "今天天氣很好我們一起去公園散步然後回家吃飯看書睡覺"
+    docs = [(1, "Home About Contact\n\n第一章"), (2, "home  about contact\n \n第一章\nHome"), (3, f"{cjk}\npage 12"), (4, f"{cjk[:-1]}眠\npage 13")]
+    got = {r.doc_id: (r.removed, r.kept_in) for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: ([], []), 2: ([0, 2], [1, 1]), 3: ([], []), 4: ([0], [3])}
+
+
 
 def plain_phrases(text, sample):
     n = i = 0
