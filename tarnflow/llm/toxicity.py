@@ -1,8 +1,9 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks.
 
 Two words are alike as far as they share subsequences of four letters, gaps allowed and discounted: ``idiot``, ``id-iot``
-and ``idxiot`` stay close. The machine is trained in the space that landmark words span (Nyström), on sentences whose labels come
-from labelled documents; a sentence, and a text, is as toxic as its most toxic word. As the kernel's features are
+and ``idxiot`` stay close. The machine is trained in the space that landmark words span (Nyström), on single words whose labels
+come from labelled documents, not on sentences: no subsequence spans two words, so an insult made of words that clean texts
+use is not found, and letters outside a-z are one symbol. As the kernel's features are
 explicit, the trained machine folds into one weight per subsequence, so that scoring a word needs no landmark.
 """
 
