@@ -24,7 +24,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS, TOTAL = 400, 1500, 50_000, 400_000
 #: Letters that get a symbol of their own; the rest share one.
 ALPHABET = 61
 SPACE, OTHER = 0, 1
-#: Texts are parsed in windows of so many symbols, all windows of a slice side by side.
+#: Texts are parsed in windows of so many symbols, all windows of a slice side by side; those whose first state changes are
+#: parsed again.
 WINDOW = 512
 MISS = 1 << 30
 
@@ -60,16 +61,17 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def step_table(symbols: list[int], width: int) -> np.ndarray:
-    """For every state and symbol the next state; with MISS added where the phrase ends before the symbol, so that a new
-    one starts with it."""
+    """For every state and symbol the next state; with MISS added where a phrase begins with the symbol. State 0, where no phrase
+    is open, takes the place of the start: from there every symbol begins one. A symbol that the language never has is
+    a phrase of its own and leads to state 0."""
     moves = suffix_automaton(symbols)
     first = np.full(width, MISS, np.int32)
     for c, to in moves[0].items():
         first[c] = MISS + to
     table = np.tile(first, (len(moves), 1))
-    rows = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-    cols = np.fromiter((c for m in moves for c in m), np.int64, len(rows))
-    table[rows, cols] = np.fromiter((t for m in moves for t in m.values()), np.int64, len(rows))
+    rows = np.repeat(np.arange(1, len(moves)), [len(m) for m in moves[1:]])
+    cols = np.fromiter((c for m in moves[1:] for c in m), np.int64, len(rows))
+    table[rows, cols] = np.fromiter((t for m in moves[1:] for t in m.values()), np.int64, len(rows))
     return table.ravel()
 
 
@@ -111,18 +113,26 @@ class CrossParser:
         begin = np.cumsum(lengths) - lengths
         windows = -(-lengths // WINDOW)
         doc = np.repeat(np.arange(n), windows)
-        at = ranges(windows) * WINDOW
-        size = np.minimum(WINDOW, lengths[doc] - at)
-        order = np.argsort(-size, kind="stable")
-        doc, first, size = doc[order], (begin[doc] + at)[order], size[order]
-        active = len(size) - np.searchsorted(size[::-1], np.arange(1, (size[0] if len(size) else 0) + 1), side="left")
+        place = ranges(windows)
+        first, size = begin[doc] + place * WINDOW, np.minimum(WINDOW, lengths[doc] - place * WINDOW)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
-            for j, m in enumerate(active):
-                to = table[state[:m] * self.width + s[first[:m] + j]]
-                count[:m] += to >> 30
-                state[:m] = to & (MISS - 1)
-            out[:, k] = np.bincount(doc, count + 1, minlength=n)
+            # A window first begins in state 0; where the one before it ends elsewhere it is parsed again, until none changes.
+            entry, count, leave = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64), np.zeros(len(size), np.int32)
+            todo = np.argsort(-size, kind="stable")
+            while len(todo):
+                state, hits = entry[todo], np.zeros(len(todo), np.int64)
+                active = len(todo) - np.searchsorted(size[todo][::-1], np.arange(1, size[todo[0]] + 1), side="left")
+                at = first[todo]
+                for j, m in enumerate(active):
+                    to = table[state[:m] * self.width + s[at[:m] + j]]
+                    hits[:m] += to >> 30
+                    state[:m] = to & (MISS - 1)
+                count[todo], leave[todo] = hits, state
+                given = np.where(place > 0, np.r_[np.int32(0), leave[:-1]], 0)[: len(size)]
+                todo = np.flatnonzero(given != entry)
+                entry[todo] = given[todo]
+                todo = todo[np.argsort(-size[todo], kind="stable")]
+            out[:, k] = np.bincount(doc, count, minlength=n)
         return out, has_letter
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:

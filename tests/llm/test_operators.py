@@ -280,19 +280,16 @@ def test_line_dedup(spark):
         docs.append((i, "\n".join([*lines, "short line"])))
     table = spark.createDataFrame(docs, "doc_id long, text string")
     hashes = {r.doc_id: r.t for r in table.select("doc_id", F.xxhash64("text").alias("t")).collect()}
-    seen = []
-    for i, t in docs:
-        marks = line_dedup.line_marks([t])
-        seen += [((i, hashes[i], int(p)), int(f), " ".join(t.split("\n")[p].lower().split())) for p, f in zip(marks["pos"], marks["fp"], strict=True)]
-    kinds = {x[2]: x[1] for x in seen}
-    texts, parent = list(kinds), {t: t for t in kinds}
+    seen = [((i, hashes[i], p), " ".join(x.lower().split())) for i, t in docs for p, x in enumerate(t.split("\n"))]
+    texts = sorted({t for _, t in seen})
+    parent = {t: t for t in texts}
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if (kinds[a] ^ kinds[b]).bit_count() <= 3 and distance(a, b) <= 0.2 * max(len(a), len(b)):
+            if min(len(a.split()), len(b.split())) >= line_dedup.MIN_WORDS and distance(a, b) <= 0.2 * max(len(a), len(b)):
                 old, new = parent[a], parent[b]
                 parent = {t: new if p == old else p for t, p in parent.items()}
     stays, want = {}, defaultdict(list)
-    for where, _, t in sorted(seen):
+    for where, t in sorted(seen):
         first = stays.setdefault(parent[t], where)
         if first != where:
             want[where[0]].append((where[2], first[0]))
@@ -300,7 +297,49 @@ def test_line_dedup(spark):
     assert got == want and len(want) > 10
     left = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(table).collect()}
     for i, t in docs:
-        assert left[i] == "\n".join(x for j, x in enumerate(t.split("\n")) if j not in {p for p, _ in want.get(i, [])})
+        assert left.get(i, "") == "\n".join(x for j, x in enumerate(t.split("\n")) if j not in {p for p, _ in want.get(i, [])})
+
+
+def test_edit_distances():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        x = "".join(rng.choice(list("abc"), rng.integers(0, 30)))
+        y = list(x)
+        for _ in range(rng.integers(0, 8)):
+            k = rng.integers(0, len(y) + 1)
+            y[k : k + rng.integers(0, 2)] = rng.choice(list("abcd"), rng.integers(0, 2)).tolist()
+        y, most = "".join(y), int(rng.integers(0, 8))
+        assert line_dedup.within(x, y, most) == (distance(x, y) <= most), (x, y, most)
+    long = " ".join(f"word{i % 997}" for i in range(10_000))
+    assert line_dedup.within(long, long[:30_000] + " one more" + long[30_000:], 9) and not line_dedup.within(long, long[::-1], 100)
+
+
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 8])
+def test_line_dedup_groups_of_near_copies(spark, hot):
+    """A hub of copies that differ from it in a few words each, and chains of lines of which only neighbours are alike."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    hub, lines = [word() for _ in range(30)], []
+    for _ in range(60):
+        w = list(hub)
+        for k in rng.choice(30, 3, replace=False):
+            w[k] = word()
+        lines.append(" ".join(w))
+    chain = [word() for _ in range(25)]
+    for i in range(20):
+        chain[i] = word()
+        lines.append(" ".join(chain))
+    lines += [" ".join(word() for _ in range(20)) for _ in range(40)]
+    near = lambda a, b: distance(a, b) <= 0.2 * max(len(a), len(b))
+    label = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if label[i] != label[j] and near(a, lines[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.kept_in for r in line_dedup.line_report(table, hot=hot).collect()}
+    assert got == {i: [] if label[i] == i else [label[i]] for i in range(len(lines))}
 
 
 def test_line_dedup_links_what_edit_similarity_links(spark):
@@ -349,6 +388,10 @@ def test_cross_parsing_counts_longest_matches():
     for i, t in enumerate(texts):
         assert got[i].tolist() == [plain_phrases(t, samples[k][0]) for k in parser.languages] and letters[i]
     assert parser.predict(["und der hund", "", "123 !"])[0] == ["y", "und", "und"]
+    long = ["the cat sat on the mat and the hat " * 60, "aaaa", "der hund und " * 200 + "zz " * 300]
+    got, _ = parser.phrases(long)  # the windows leave no trace
+    for i, t in enumerate(long):
+        assert got[i].tolist() == [plain_phrases(re.sub(" +", " ", t), samples[k][0]) for k in parser.languages]
 
 
 def test_language_id_on_held_out_documents(docs, rows):
