@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id
+from .common import crc_of_id, held
 from .textcode import code_points, letter_table, ranges, slices
 
 #: The bounds of the labelled sample: documents of a language, code points of each, and symbols of a language's
@@ -148,16 +148,10 @@ class CrossParser:
         return names.tolist(), scores
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def _parser(samples: dict[str, list[str]]) -> CrossParser:
     """The parser of these samples; one is kept in each Python worker."""
     key = zlib.crc32(repr(sorted(samples.items())).encode("utf-8", "surrogatepass"))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return held(("language_id", key), lambda: CrossParser(samples))
 
 
 def labelled_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:

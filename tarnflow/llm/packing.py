@@ -7,7 +7,7 @@ full; the others release all with room. These are dealt anew, so that partitions
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from bisect import bisect_left
@@ -19,58 +19,66 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import stash
+from .common import held, stash
 from .textcode import slices
+from .token_counts import letters
 
 CAPACITY, SEPARATOR = 2048, 0
-VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces in a partition, on average, and rounds of exchange at most.
-PARTITION, ROUNDS = 4096, 5
+VOCABULARY = "byte_bpe_50k.json"
+#: Pieces in a partition, on average, at first and at most.
+PARTITION, LARGEST = 4096, 1 << 17
 #: A certified partition settles sequences that are at least so full.
 FILLED = 0.95
-_RUN = re.compile(r"\s\s")
+#: Two blanks in a row; a run of them that is left to the library.
+_RUN, _LONG_RUN = re.compile(r"\s\s"), re.compile(r"\s{1000}")
 
 
 class Tokens:
-    """Token ids of the vocabulary file that the library ``tokenizers`` reads as byte_bpe_50k.json. The same merges are
-    applied by tiktoken, about four times as fast; a text without two white-space characters in a row is split by the
-    pattern without its look-ahead, which finds the same words there."""
+    """Token ids of the file that the library ``tokenizers`` reads. Its merges are applied by tiktoken, which is five times as
+    fast: its ranks are the file's ids, which number the merges in their order. A text without two blanks in a row is split
+    by the pattern without its look-ahead, which finds the same words there. Texts with a run of a thousand blanks go through
+    the library, as the look-ahead would need a stack as deep as the run."""
 
     def __init__(self, path: str | None = None):
-        with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern, special = public_tokenizers.PATTERN, {"<|endoftext|>": len(ranks)}
+        path = path or public_tokenizers.path(VOCABULARY)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        ranks = {letters(k): v for k, v in file["model"]["vocab"].items() if k not in special}
+        pattern = public_tokenizers.PATTERN
         self.plain = tiktoken.Encoding("plain", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens=special)
         self.full = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.path, self.library = path, None
 
     def __call__(self, text: str) -> list[int]:
-        return (self.full if _RUN.search(text) else self.plain).encode(text, allowed_special="all")
-
-
-_tokens: dict[str | None, Tokens] = {}
-
-
-def _tokenizer(path: str | None) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+        if not _RUN.search(text):
+            return self.plain.encode(text, allowed_special="all")
+        if not _LONG_RUN.search(text):
+            return self.full.encode(text, allowed_special="all")
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every row of docs: its token ids and the separator, cut from
     the end into pieces of capacity tokens, so that the first may be shorter. A null text counts as empty: one piece of
-    one token. Rows that repeat a doc_id give pieces of their own."""
+    one token; an empty table gives none. Rows that repeat a doc_id give pieces of their own; other columns are not read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _tokenizer(path)
+        encode = held(("packing", path), lambda: Tokens(path))
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             for a, b in slices(texts):
                 rows = []
                 for d, t in zip(pdf["doc_id"].iloc[a:b], texts[a:b], strict=True):
                     ids = np.array([*encode(t), SEPARATOR], "<u4")
-                    cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids), capacity), len(ids)]
+                    n = len(ids)
+                    cuts = [0, *range((n - 1) % capacity + 1, n, capacity), n]
                     for i in range(len(cuts) - 1):
                         part = ids[cuts[i] : cuts[i + 1]]
                         rows.append((d, i, cuts[i], len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
@@ -137,41 +145,45 @@ def _pack_partition(capacity: int):
         pdf = pdf.sort_values("item", ignore_index=True)
         lengths, items = pdf["length"].to_numpy(), pdf["item"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
-        old = pdf["bin"].nunique()
-        if old and old <= bins.max() + 1:
-            bins, offsets = pd.factorize(pdf["bin"])[0], pdf["at"].to_numpy()
-        first = np.zeros(bins.max() + 1, np.int64)
+        old, new = pdf["bin"].nunique(), int(bins.max()) + 1
+        if old and old <= new:
+            bins, offsets, new = pd.factorize(pdf["bin"])[0], pdf["at"].to_numpy(), old
+        first = np.zeros(new, np.int64)
         first[bins[offsets == 0]] = items[offsets == 0]
-        fill = np.bincount(bins, lengths)
-        gap = len(first) > bin_bound(lengths, capacity)
-        return pd.DataFrame({"item": items, "length": lengths, "bin": first[bins], "at": offsets, "open": (fill < (capacity if gap else FILLED * capacity))[bins]})
+        fill, bound = np.bincount(bins, lengths), bin_bound(lengths, capacity)
+        out = pd.DataFrame({"item": items, "length": lengths, "bin": first[bins], "at": offsets, "open": (fill < (capacity if new > bound else FILLED * capacity))[bins]})
+        return out.assign(bins=new, bound=bound, gain=np.where(np.arange(len(out)) == 0, (old or new + 1) - new, 0))
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """pieces (any columns, with a length from 1 to capacity) with sequence_id and offset: gapless sequences of at most
-    capacity tokens, about as few as can be. A column of one of these two names, or named ``_item``, is replaced. An
-    empty table gives an empty result; the same written pieces give the same packing."""
-    pieces = stash(pieces.withColumn("_item", F.monotonically_increasing_id()))
-    schema = "item long, length long, bin long, at long, open boolean"
-    settled = pieces.where(F.col("length") >= capacity).select(F.col("_item").alias("item"), F.col("_item").alias("bin"), F.lit(0).cast("long").alias("at"))
-    todo = pieces.where(F.col("length") < capacity).select(F.col("_item").alias("item"), "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("at"))
-    n = todo.count()
-    for i in range(rounds):
-        if not n:
-            break
-        groups = -(-n // (partition << i))  # what is left meets in ever larger partitions
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION, largest: int = LARGEST) -> DataFrame:
+    """pieces (any columns, with a length from 1 to capacity) with sequence_id, offset, bins and bound: gapless sequences of
+    at most capacity tokens, about as few as can be. bins and bound are the sequences of the partition in which this one was
+    settled and the least that its pieces need.
+
+    Rounds go on until every sequence is full or settled by a certified partition, or until one saves no sequence. Each
+    doubles the pieces of a partition, up to largest. Columns of these names, or named ``_item``, are replaced. Pieces of
+    equal length are packed in the order in which they were written. An empty table gives an empty result; the same
+    written pieces give the same packing.
+    """
+    names = ["sequence_id", "offset", "bins", "bound"]
+    pieces = stash(pieces.drop(*names).withColumn("_item", F.monotonically_increasing_id()))
+    schema = "item long, length long, bin long, at long, open boolean, bins long, bound long, gain long"
+    one = F.lit(1).cast("long")
+    settled = pieces.where(F.col("length") >= capacity).select(F.col("_item").alias("item"), F.col("_item").alias("bin"), F.lit(0).cast("long").alias("at"), one.alias("bins"), one.alias("bound"))
+    todo = pieces.where(F.col("length") < capacity).select(F.col("_item").alias("item"), "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("at"), one.alias("bins"), one.alias("bound"))
+    n, gain, groups, i = todo.count(), 1, 2, 0
+    while n and gain and groups > 1:
+        groups = -(-n // min(partition << i, largest))  # what is left meets in ever larger partitions
         key = F.pmod(F.xxhash64(F.lit(i), F.coalesce("bin", "item")), F.lit(groups))
-        done = stash(todo.withColumn("group", key).groupBy("group").applyInPandas(_pack_partition(capacity), schema))
-        settled = settled.unionByName(done.where("not open").select("item", "bin", "at"))
-        todo = done.where("open").select("item", "length", "bin", "at")
-        n = todo.count()
-        if groups == 1:
-            break
-    plan = settled.unionByName(todo.select("item", "bin", "at")).select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
-    rest = pieces.drop("sequence_id", "offset")
-    return rest.join(plan, rest["_item"] == plan["item"]).drop("_item", "item")
+        done = stash(todo.drop("bins", "bound").withColumn("group", key).groupBy("group").applyInPandas(_pack_partition(capacity), schema))
+        settled = settled.unionByName(done.where("not open").select("item", "bin", "at", "bins", "bound"))
+        todo = done.where("open").select("item", "length", "bin", "at", "bins", "bound")
+        n, gain = done.agg(F.coalesce(F.sum(F.col("open").cast("long")), F.lit(0)), F.coalesce(F.sum("gain"), F.lit(0))).first()
+        i += 1
+    plan = settled.unionByName(todo.select(settled.columns)).select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"), "bins", "bound")
+    return pieces.join(plan, pieces["_item"] == plan["item"]).drop("_item", "item")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -181,5 +193,6 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """Every document of docs, tokenised and packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Every document of docs, tokenised and packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset,
+    bins, bound."""
     return pack(tokenize(docs))

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash
+from .common import held, small, stash
 from .textcode import code_points, slices
 from .token_counts import Slots
 
@@ -147,20 +147,15 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _score(shared: Broadcast, name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(shared.value)
+        scorer = held(("quality_lm", name), lambda: Scorer(shared.value))
         for pdf in batches:
             total = np.full(len(pdf), np.nan)
             lang = pdf["lang"].to_numpy()
             for x in pd.unique(lang):
                 of = np.flatnonzero(lang == x)
-                if (got := _scorers[name].log_likelihoods(x, pdf["text"].iloc[of].tolist())) is not None:
+                if (got := scorer.log_likelihoods(x, pdf["text"].iloc[of].tolist())) is not None:
                     total[of] = got
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": lang, "n_chars": pdf["n_chars"], "total": total})
 

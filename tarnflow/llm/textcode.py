@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Code points that one slice of a batch may hold; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def slices(texts: Sequence[str], limit: int = SLICE) -> Iterator[tuple[int, int]]:

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .textcode import code_points, slices
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
@@ -108,6 +109,21 @@ class Slots:
             keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & self.mask
 
 
+def _bytes() -> dict[str, int]:
+    """The characters by which a vocabulary file writes bytes: printable ones as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+BYTES = _bytes()
+
+
+def letters(token: str) -> bytes:
+    """The bytes of a token as the vocabulary file writes it."""
+    return bytes(map(BYTES.__getitem__, token))
+
+
 class Merges:
     """The merge rules of the vocabulary file."""
 
@@ -116,11 +132,9 @@ class Merges:
             file = json.load(f)
         vocab, merges = file["model"]["vocab"], file["model"]["merges"]
         self.special = [t["content"] for t in file["added_tokens"]]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as themselves
-        rest = [b for b in range(256) if b not in plain]
         self.byte = np.zeros(256, np.int32)
-        for b in range(256):
-            self.byte[b] = vocab[chr(b if b in plain else 256 + rest.index(b))]
+        for char, b in BYTES.items():
+            self.byte[b] = vocab[char]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
         keys, first = np.unique(keys, return_index=True)
@@ -321,9 +335,6 @@ class TokenCounter:
         return out
 
 
-_counters: dict[str | None, TokenCounter] = {}
-
-
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
@@ -333,10 +344,9 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _counters:
-            _counters[path] = TokenCounter(path)
+        counter = held(("token_counts", path), lambda: TokenCounter(path))
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": _counters[path]([t or "" for t in pdf["text"]])})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": counter([t or "" for t in pdf["text"]])})
 
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), t.alias("text"))

@@ -162,7 +162,8 @@ def test_token_counts_of_odd_strings():
     texts = ["".join(rng.choice(parts, rng.integers(0, 50))) for _ in range(3000)] + ["ab" * 40_000]
     assert token_counts.TokenCounter()(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
     tokens = packing.Tokens()
-    assert [tokens(t) for t in texts[:1000]] == [library.encode(t, add_special_tokens=False).ids for t in texts[:1000]]
+    texts = [*texts[:1000], *map(" ".join, np.reshape(texts[:1000], (-1, 4)).tolist()), " a", "a ", "a  b", "a \tb", "a\u3000 b", " " * 2_000_000, ("x" + " " * 9) * 20_000]
+    assert [tokens(t) for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_state_maps_compose():
@@ -178,7 +179,6 @@ def test_state_maps_compose():
 
 def test_packing(docs, rows, odd):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = Counter(r[1] for r in ROWS)
     packed = packing.pack(packing.tokenize(docs, with_ids=True), partition=20)
     got = packed.collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -199,7 +199,16 @@ def test_packing(docs, rows, odd):
     bound = packing.bin_bound(np.array([p.length for p in got]))
     assert bound <= len(by_sequence) <= bound + 2
     assert {r.sequence_id: r.ids for r in packing.sequences(packed).collect()} == {k: [x for p in s for x in p.ids] for k, s in by_sequence.items()}
-    assert len({(p.doc_id, p.piece, p.sequence_id, p.offset) for p in packing.pack_documents(odd).collect()}) >= sum(texts.values())
+    want = Counter()
+    for i, t, *_ in ROWS:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids), 2048), len(ids)]
+        want.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    got = packing.pack_documents(odd).collect()
+    assert Counter((p.doc_id, p.piece, p.start, p.length, p.ids_crc32) for p in got) == want
+    at = sorted((p.sequence_id, p.offset, p.length) for p in got)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip([(None, 0, 0), *at], at, strict=False))
+    assert all(p.bound <= p.bins for p in got)
 
 
 def test_bounds_hold():
