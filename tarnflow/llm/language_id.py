@@ -26,7 +26,7 @@ ALPHABET = 61
 SPACE, OTHER = 0, 1
 #: Texts are parsed in windows of so many symbols, all windows of a slice side by side; those whose first state changes are
 #: parsed again.
-WINDOW = 512
+WINDOW, HEAD = 512, 32
 MISS = 1 << 30
 
 
@@ -61,17 +61,17 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def step_table(symbols: list[int], width: int) -> np.ndarray:
-    """For every state and symbol the next state; with MISS added where a phrase begins with the symbol. State 0, where no phrase
+    """For every state (its number times width) and symbol the next state; with MISS added where a phrase begins with the symbol. State 0, where no phrase
     is open, takes the place of the start: from there every symbol begins one. A symbol that the language never has is
     a phrase of its own and leads to state 0."""
     moves = suffix_automaton(symbols)
     first = np.full(width, MISS, np.int32)
     for c, to in moves[0].items():
-        first[c] = MISS + to
+        first[c] = MISS + to * width
     table = np.tile(first, (len(moves), 1))
     rows = np.repeat(np.arange(1, len(moves)), [len(m) for m in moves[1:]])
     cols = np.fromiter((c for m in moves[1:] for c in m), np.int64, len(rows))
-    table[rows, cols] = np.fromiter((t for m in moves[1:] for t in m.values()), np.int64, len(rows))
+    table[rows, cols] = np.fromiter((t * width for m in moves[1:] for t in m.values()), np.int64, len(rows))
     return table.ravel()
 
 
@@ -116,29 +116,40 @@ class CrossParser:
         place = ranges(windows)
         first, size = begin[doc] + place * WINDOW, np.minimum(WINDOW, lengths[doc] - place * WINDOW)
         for k, table in enumerate(self.tables):
-            # A window first begins in state 0; where the one before it ends elsewhere it is parsed again, until none changes.
-            entry, count, leave = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64), np.zeros(len(size), np.int32)
-            todo = np.argsort(-size, kind="stable")
-            while len(todo):
-                state, hits = entry[todo], np.zeros(len(todo), np.int64)
-                active = len(todo) - np.searchsorted(size[todo][::-1], np.arange(1, size[todo[0]] + 1), side="left")
-                at = first[todo]
-                for j, m in enumerate(active):
-                    to = table[state[:m] * self.width + s[at[:m] + j]]
+
+            def walk(those: np.ndarray, state: np.ndarray, low: int, high: int, table=table) -> tuple[np.ndarray, np.ndarray]:
+                """The states after symbols low to high - 1 of those windows (longest first), and the phrases begun there."""
+                state, hits, at = state.copy(), np.zeros(len(those), np.int32), first[those] + low
+                high = min(high, int(size[those[0]])) if len(those) else low
+                for m in np.searchsorted(-size[those], -np.arange(low, high)).tolist():  # so many windows are long enough
+                    to = table[state[:m] + s[at[:m]]]
                     hits[:m] += to >> 30
                     state[:m] = to & (MISS - 1)
-                count[todo], leave[todo] = hits, state
+                    at += 1
+                return state, hits
+
+            # Each window first begins in state 0. Where the one before it ends in another state it is parsed again, as far
+            # as HEAD if it is in its former state there, until no window begins otherwise than the one before it ends.
+            entry, middle, leave = (np.zeros(len(size), np.int32) for _ in range(3))
+            head, tail = (np.zeros(len(size), np.int64) for _ in range(2))
+            todo = again = np.argsort(-size, kind="stable")
+            while len(todo):
+                state, head[todo] = walk(todo, entry[todo], 0, HEAD)
+                if again is not todo:
+                    again = todo[state != middle[todo]]
+                middle[todo] = state
+                leave[again], tail[again] = walk(again, middle[again], HEAD, WINDOW)
                 given = np.where(place > 0, np.r_[np.int32(0), leave[:-1]], 0)[: len(size)]
                 todo = np.flatnonzero(given != entry)
-                entry[todo] = given[todo]
                 todo = todo[np.argsort(-size[todo], kind="stable")]
-            out[:, k] = np.bincount(doc, count, minlength=n)
+                entry[todo], again = given[todo], None
+            out[:, k] = np.bincount(doc, head + tail, minlength=n)
         return out, has_letter
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
         if self.languages:
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 20):
                 count, has_letter = self.phrases(texts[a:b])
                 bits = count * np.array(self.bits)
                 best = bits.argmin(axis=1)
