@@ -68,10 +68,11 @@ def _line_rows(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """host, line (hash), n_docs of the lines above the limit of their host."""
+    """host, line (hash), n_docs of the lines above the limit of their host. Rows that repeat a doc_id and text are one document."""
     lines = _line_rows(docs, doc_id, text, host)
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = docs.groupBy(F.col(host).alias("host_")).agg(F.count("*").alias("host_docs"))
+    counts = lines.groupBy("host", "line").agg(F.count_distinct(F.struct("doc_id", "text_hash")).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    each = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    hosts = docs.groupBy(F.col(host).alias("host_")).agg(F.count_distinct(each).alias("host_docs"))
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n_docs") > F.lit(share) * F.col("host_docs")).select("host", "line", "n_docs")
 
 
@@ -99,9 +100,9 @@ w AS (SELECT rid, doc_id, source, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+')
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 p AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
 c AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM p) GROUP BY rid),
-ln AS (SELECT DISTINCT rid, source, trim(lower(l), ' ') AS line FROM (SELECT rid, source, unnest(string_split(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS l FROM t) WHERE trim(l, ' ') <> ''),
-hosts AS (SELECT source, count(*) AS n FROM t GROUP BY source),
-often AS (SELECT ln.source, line FROM ln JOIN hosts ON ln.source IS NOT DISTINCT FROM hosts.source GROUP BY ln.source, line, hosts.n HAVING count(*) > 20 AND count(*) > 0.02 * hosts.n),
+ln AS (SELECT DISTINCT rid, source, d, trim(lower(l), ' ') AS line FROM (SELECT rid, source, (doc_id, hash(x)) AS d, unnest(string_split(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS l FROM t) WHERE trim(l, ' ') <> ''),
+hosts AS (SELECT source, count(DISTINCT (doc_id, hash(x))) AS n FROM t GROUP BY source),
+often AS (SELECT ln.source, line FROM ln JOIN hosts ON ln.source IS NOT DISTINCT FROM hosts.source GROUP BY ln.source, line, hosts.n HAVING count(DISTINCT d) > 20 AND count(DISTINCT d) > 0.02 * hosts.n),
 gone AS (SELECT rid, sum(len(string_split(ln.line, ' '))) AS n FROM ln JOIN often ON ln.line = often.line AND ln.source IS NOT DISTINCT FROM often.source GROUP BY rid),
 b AS (SELECT w.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c ON w.rid = c.rid),

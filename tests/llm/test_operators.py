@@ -146,6 +146,9 @@ def test_frequent_lines_reject_depleted_documents(spark):
     out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(out[i].kept and out[i].removed_words == 3 for i in range(60))
     assert not any(out[100 + i].kept for i in range(40))
+    again = [(1, body[0], "h")] * 30 + rows[1:60]  # a document that is there many times is one
+    out = quality_rules.quality_rules(spark.createDataFrame(again, "doc_id long, text string, source string")).where("doc_id = 1 and n_words = 60").collect()
+    assert len(out) == 30 and all(r.kept and r.removed_words == 0 for r in out)
 
 
 def test_token_counts_are_the_librarys(odd, docs, rows):
