@@ -40,13 +40,20 @@ CELL = 0.1  # degrees: the grid on which outlets and boxes meet
 
 
 def _meeting(outlets: DataFrame, boxes: DataFrame, half_x, half_y) -> DataFrame:
-    """Outlets with the rows whose 32-bit bounds touch the box around them, by an equi-join on grid cells."""
+    """Outlets with the rows whose 32-bit bounds touch the box around them, by an equi-join on grid cells. The box ends at the
+    edges of the world, and an outlet outside it meets nothing; near a pole it is a whole circle of cells. Only cells, ids and
+    bounds are dealt out; the other columns of the rows join the pairs that are left."""
     grid = lambda a, b: F.sequence(F.floor(a / CELL), F.floor(b / CELL))
-    o = outlets.select("*", *[c.alias(n) for c, n in ((F.col("lon") - half_x, "ox1"), (F.col("lon") + half_x, "ox2"), (F.col("lat") - half_y, "oy1"), (F.col("lat") + half_y, "oy2"))])
+    low = lambda c, bound: F.greatest(c, F.lit(-bound))
+    high = lambda c, bound: F.least(c, F.lit(bound))
+    box = ((low(F.col("lon") - half_x, 180.0), "ox1"), (high(F.col("lon") + half_x, 180.0), "ox2"), (low(F.col("lat") - half_y, 90.0), "oy1"), (high(F.col("lat") + half_y, 90.0), "oy2"))
+    o = outlets.where("lon between -180 and 180 and lat between -90 and 90").select("*", *[c.alias(n) for c, n in box])
     o = o.withColumn("cx", F.explode(grid(F.col("ox1"), F.col("ox2")))).withColumn("cy", F.explode(grid(F.col("oy1"), F.col("oy2"))))
-    b = boxes.withColumn("cx", F.explode(grid(F.col("bbox_minx"), F.col("bbox_maxx")))).withColumn("cy", F.explode(grid(F.col("bbox_miny"), F.col("bbox_maxy"))))
+    narrow = boxes.select("id", "bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy")
+    b = narrow.withColumn("cx", F.explode(grid(F.col("bbox_minx"), F.col("bbox_maxx")))).withColumn("cy", F.explode(grid(F.col("bbox_miny"), F.col("bbox_maxy"))))
     hit = o.join(b, ["cx", "cy"]).where("bbox_minx <= ox2 and bbox_maxx >= ox1 and bbox_miny <= oy2 and bbox_maxy >= oy1")
-    return hit.drop("cx", "cy", "ox1", "ox2", "oy1", "oy2").dropDuplicates(["outlet_id", "id"])
+    hit = hit.select(*outlets.columns, "id").dropDuplicates(["outlet_id", "id"])
+    return hit.join(boxes, "id")
 
 
 def _position(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

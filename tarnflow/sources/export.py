@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, spatial
+from . import scratch
 
 
 class ExportError(ValueError):
@@ -50,9 +51,26 @@ def basin_rows(results: DataFrame, label: str, basin_id: str | None = None, adap
     return out.withColumn("hilbert", key).drop("_x", "_y")
 
 
+#: The coordinate system of all geometries, as GeoParquet wants it (PROJJSON).
+WGS84 = {
+    "type": "GeographicCRS",
+    "name": "WGS 84",
+    "datum": {"type": "GeodeticReferenceFrame", "name": "World Geodetic System 1984", "ellipsoid": {"name": "WGS 84", "semi_major_axis": 6378137, "inverse_flattening": 298.257223563}},
+    "coordinate_system": {
+        "subtype": "ellipsoidal",
+        "axis": [
+            {"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"},
+            {"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"},
+        ],
+    },
+    "id": {"authority": "EPSG", "code": 4326},
+}
+
+
 def write_basins(rows: DataFrame, path: str) -> None:
     """Writes basin_rows() as Parquet in Hilbert order. Names must be valid and, with their delineation, unique. Spark's
     writer takes no footer keys of ours: the GeoParquet metadata is the one line of <path>/_geo/."""
+    rows = scratch.written(rows)  # checks, files and bounds read the basins; they are made once
     bad = rows.where(~spatial.valid_basin_id(F.col("basin_id"))).limit(1).collect()
     if bad:
         raise ExportError(f"invalid basin_id {bad[0]['basin_id']!r}")
@@ -61,7 +79,7 @@ def write_basins(rows: DataFrame, path: str) -> None:
         raise ExportError(f"duplicate basin {twice[0]['basin_id']!r}")
     rows.repartitionByRange("hilbert", "basin_id").sortWithinPartitions("hilbert", "basin_id", "delineation").drop("hilbert").write.mode("errorifexists").parquet(path)
     box = rows.agg(F.min("bbox_minx"), F.min("bbox_miny"), F.max("bbox_maxx"), F.max("bbox_maxy")).first()
-    column = {"encoding": "WKB", "geometry_types": ["MultiPolygon"], "crs": None, "bbox": [None if v is None else float(v) for v in box]}
+    column = {"encoding": "WKB", "geometry_types": ["MultiPolygon"], "crs": WGS84, "bbox": [None if v is None else float(v) for v in box]}
     meta = json.dumps({"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": column}})
     rows.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/_geo")
 

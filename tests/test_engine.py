@@ -64,6 +64,12 @@ def test_delineate(spark, dataset):
         collect_or_raise(delineate_batch(fabric, outlets(spark, (9, 9))))
 
 
+def test_outlets_at_the_edges_of_the_world(spark, dataset):
+    """A box around an outlet ends at a pole; outlets outside the world resolve to nothing."""
+    got = delineate_batch(Fabric.open(spark, str(dataset)), outlets(spark, (10, 90), (180, 0), (10, 95))).collect()
+    assert len(got) == 3 and all(r["terminal"] is None and r["status"] != "Resolved" for r in got)
+
+
 def test_dissolve_finds_overlaps_and_keeps_only_the_outline_in_a_group(spark, monkeypatch):
     rows = [(7, geometry.to_wkb([[box(x, y, x + 1, y + 1)]])) for x in range(12) for y in range(12)]
     rows += [(8, geometry.to_wkb([[box(*b)]])) for b in ((0, 0, 1, 1), (1, 0, 2, 1), (1, 0, 2, 1))]
