@@ -251,17 +251,30 @@ def test_near_fingerprints_loses_no_link(spark, hot):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**64, 20, dtype=np.uint64)
     fps = np.unique(np.concatenate([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (rng.integers(1, 4), 20)).astype(np.uint64)) for _ in range(12)] + [base]))
-    df = spark.createDataFrame([(int(x), int(i % 3)) for i, x in enumerate(fps.view(np.int64))], "fp long, part long")
     signed = fps.view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in signed], "fp long")
     near = {(min(a, b), max(a, b)) for i, a in enumerate(signed.tolist()) for j, b in enumerate(signed.tolist()) if i < j and np.bitwise_count(fps[i] ^ fps[j]) <= 3}
-    part = {int(x): i % 3 for i, x in enumerate(signed)}
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in hamming.near_fingerprints(df, 3, part="part", hot=hot).collect()}
-    assert got == {p for p in near if part[p[0]] != part[p[1]]}
     forest = hamming.near_fingerprints(df, 3, hot=hot)
     pairs = spark.createDataFrame([(int(a), int(b)) for a, b in near], "a long, b long")
     assert Counter(map(tuple, components.components(forest).collect())) == Counter(map(tuple, components.components(pairs).collect()))
 
 
+@pytest.mark.parametrize("scheme", [s for _, s in hamming.SCHEMES] + [hamming.HOT_SCHEME])
+def test_linked_fingerprints_share_a_cell_and_pass_the_pivots(scheme):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    b = a ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3, 3000)).astype(np.uint64))
+    keys, far = hamming.cells(np.r_[a, b], 3, scheme)
+    assert (keys[:3000] == keys[3000:]).any(axis=1).all()
+    table = far.view(np.uint8)
+    assert (table == np.bitwise_count(np.r_[a, b][:, None] ^ hamming.SPREAD_PIVOTS[None, :])).all()
+    counts = [0, 0, 0]
+    left, right = hamming.cell_links(np.r_[a, b], table, 3, counts)
+    assert {(min(x, y), max(x, y)) for x, y in zip(left.tolist(), right.tolist(), strict=True)} == {(i, i + 3000) for i in range(3000)}
+    assert counts[0] == 6000 * 5999 // 2 and 3000 <= counts[1] < counts[0] // 1000 and counts[2] == 3000
+    assert len(np.unique(keys)) > len(keys)  # unlike fingerprints are apart
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (200, 100), (5, 3)]
     got = dict(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long")).collect()))
