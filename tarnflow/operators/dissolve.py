@@ -34,3 +34,8 @@ def terminal_override(premerge: DataFrame, refined: DataFrame) -> DataFrame:
     r = refined.select("terminal", F.col("area").alias("refined"))
     area = F.when(F.col("unit") == F.col("terminal"), F.coalesce("refined", "area")).otherwise(F.col("area"))
     return premerge.join(r, "terminal", "left").withColumn("area", area).drop("refined")
+
+
+def largest_part(parts: DataFrame, key: str, part: str, area: str) -> DataFrame:
+    """key, part, area of each key's largest part; of equally large ones the last."""
+    return parts.groupBy(key).agg(F.max_by(F.struct(part, area), F.struct(area, part)).alias("m")).select(key, f"m.{part}", f"m.{area}")

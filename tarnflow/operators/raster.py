@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .traverse import upstream
+from ..sources.scratch import written
+from .traverse import roots, upstream
 
 # The direction codes of the two encodings and their steps; rows grow southward.
 ESRI = {1: (0, 1), 2: (1, 1), 4: (1, 0), 8: (1, -1), 16: (0, -1), 32: (-1, -1), 64: (-1, 0), 128: (-1, 1)}
@@ -77,3 +78,67 @@ def select_tile(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
     out = hit.groupBy("id").agg(F.count_if("covers").alias("n"), F.count("tile_id").alias("meeting"), F.min(F.when(F.col("covers"), F.col("tile_id"))).alias("tile_id"))
     status = F.when(F.col("n") == 1, "Selected").when(F.col("n") > 1, "Ambiguous").when(F.col("meeting") > 1, "Spans").otherwise("NoCovering")
     return out.select("id", status.alias("status"), F.when(F.col("n") == 1, F.col("tile_id")).alias("tile_id"))
+
+
+def code_of(dr: Column, dc: Column, encoding: dict[int, tuple[int, int]] = ESRI) -> Column:
+    """The direction code of a step of rows and columns; null if it leads to no neighbour."""
+    codes = F.create_map(*[F.lit(v) for k, (r, c) in encoding.items() for v in (3 * r + c, k)])
+    return F.when((F.abs(dr) <= 1) & (F.abs(dc) <= 1), F.element_at(codes, (3 * dr + dc).cast("int")))
+
+
+def opposite(code: Column, encoding: dict[int, tuple[int, int]] = ESRI) -> Column:
+    """The code of the step back; null for any number that is no direction."""
+    dr, dc = step(code, encoding)
+    return code_of(-dr, -dc, encoding)
+
+
+def pixel(x: Column, y: Column, left: float, top: float, width: float, height: float) -> tuple[Column, Column]:
+    """Row and column of the pixel that holds a point; points above or left of the raster go to its first row or column."""
+    return F.greatest(F.floor((top - y) / height), F.lit(0)), F.greatest(F.floor((x - left) / width), F.lit(0))
+
+
+def pixel_area(width: Column, height: Column) -> Column:
+    """The area of a pixel whose sides may have either sign."""
+    return F.abs(width * height)
+
+
+def lookup(wanted: DataFrame, cells: DataFrame) -> DataFrame:
+    """wanted (row, col, ...) with code, acc and state: Data, NoData, or OutOfBounds where the raster has no such cell."""
+    found = wanted.join(cells.select("row", "col", "code", "acc", F.lit(True).alias("_in")), ["row", "col"], "left")
+    state = F.when(F.col("_in").isNull(), "OutOfBounds").when(F.col("code").isNull(), "NoData").otherwise("Data")
+    return found.withColumn("state", state).drop("_in")
+
+
+def refinement_gate(mode: Column, declared: Column, readable: Column) -> Column:
+    """Whether a terminal is refined: Refine, Disabled, NoD8AuxDeclared or NoRasterSource (both skipped by best-effort), or
+    Error where d8-required lacks either."""
+    missing = F.when(~declared, "NoD8AuxDeclared").when(~readable, "NoRasterSource")
+    return F.when(mode == "no-refine", "Disabled").when(missing.isNull(), "Refine").when(mode == "d8-required", "Error").otherwise(missing)
+
+
+def refine_terminals(outlets: DataFrame, edges: DataFrame, cells: DataFrame, threshold: float, key: str, encoding: dict[int, tuple[int, int]] = ESRI) -> tuple[DataFrame, DataFrame]:
+    """The part of each terminal that drains to its outlet, for all terminals together. outlets: key, prow, pcol (fractional
+    cell coordinates); edges: key and the terminal's polygon, as for rasterize().
+
+    Gives the pour points (key, pour_row, pour_col, status: Refined, NoStreamCell or EmptyMask) and the cells (key, row, col).
+    A pour point is the stream cell of the terminal's mask that is nearest to the outlet, then the one with the larger
+    acc, then the first in row-major order. Cells find it by pointers that double their steps, so that a terminal's size costs
+    rounds by its logarithm only.
+    """
+    inside = written(rasterize(edges, [key]).join(cells, ["row", "col"]).select(key, "row", "col", "code", "acc"))
+    d2 = (F.col("row") + 0.5 - F.col("prow")) * (F.col("row") + 0.5 - F.col("prow")) + (F.col("col") + 0.5 - F.col("pcol")) * (F.col("col") + 0.5 - F.col("pcol"))
+    stream = F.col("acc").isNotNull() & ~F.isnan("acc") & (F.col("acc") >= threshold)
+    at = F.struct("row", "col")
+    nearest = F.min_by(F.when(stream, at), F.when(stream, F.struct(d2, -F.col("acc"), "row", "col")))
+    found = inside.join(outlets.select(key, "prow", "pcol"), key).groupBy(key).agg(nearest.alias("pour"), F.lit(True).alias("_in"))
+    pours = outlets.select(key).join(found, key, "left")
+    status = F.when(F.col("_in").isNull(), "EmptyMask").when(F.col("pour").isNull(), "NoStreamCell").otherwise("Refined")
+    pours = written(pours.select(key, F.col("pour.row").alias("pour_row"), F.col("pour.col").alias("pour_col"), status.alias("status")))
+    dr, dc = step(F.col("code"), encoding)
+    here = F.struct(key, "row", "col")
+    live = inside.join(pours.where("status = 'Refined'"), key)
+    ends = (F.col("row") == F.col("pour_row")) & (F.col("col") == F.col("pour_col"))
+    down = F.when(~ends, F.struct(key, (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")))
+    links = live.select(here.alias("id"), F.when(dr.isNotNull(), down).alias("down"))
+    drained = roots(links).join(pours.where("status = 'Refined'").select(F.struct(key, F.col("pour_row").alias("row"), F.col("pour_col").alias("col")).alias("root")), "root", "left_semi")
+    return pours, drained.select("id.*")

@@ -68,3 +68,48 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 def dangling(edges: DataFrame, units: DataFrame) -> DataFrame:
     """Edges whose upstream unit is not there."""
     return edges.join(units.select(F.col("id").alias("up")), "up", "left_anti")
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """id, root of links (id, down: where it drains to, null at a mouth): the last id on its way down, which may have no row of
+    its own; on a cycle any id of it.
+
+    Every round doubles the steps that a pointer skips, so that a way of n steps takes log(n) rounds, whatever their number.
+    """
+    pointers = written(links.select("id", F.coalesce("down", "id").alias("to")))
+    n, reach = pointers.count(), 1
+    while reach < n:
+        ahead = pointers.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        moved = pointers.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+        pointers, reach = written(moved), reach * 2
+        if not pointers.where("moved").limit(1).count():
+            break
+        pointers = pointers.drop("moved")
+    return pointers.select("id", F.col("to").alias("root"))
+
+
+def upstream_totals(units: DataFrame) -> DataFrame:
+    """id, units, total, depth of units (id, down, value), where each drains to at most one: how many there are upstream, itself
+    included, the sum of their values and the longest way up. Raises on a cycle.
+
+    After round k a unit has the totals of what is less than 2^k steps away, and takes over those of the units whose pointer
+    of 2^k steps ends at it: log(depth) rounds of one aggregation and two joins, for any number of terminals together.
+    """
+    state = written(units.select("id", F.col("down").alias("to"), F.lit(1).cast("long").alias("units"), F.col("value").alias("total"), F.lit(0).cast("long").alias("depth")))
+    n, reach = state.count(), 1
+    while state.where("to is not null").limit(1).count():
+        if reach > n:
+            raise ValueError("the drainage graph has a cycle")
+        taken = state.where("to is not null").groupBy(F.col("to").alias("id")).agg(F.sum("units").alias("u"), F.sum("total").alias("t"), (F.max("depth") + reach).alias("d"))
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        new = state.join(taken, "id", "left").join(ahead, "to", "left")
+        new = new.select("id", F.col("next").alias("to"), (F.col("units") + F.coalesce("u", F.lit(0))).alias("units"), F.when(F.col("t").isNull(), F.col("total")).otherwise(F.coalesce(F.col("total") + F.col("t"), "t")).alias("total"), F.greatest("depth", "d").alias("depth"))
+        state, reach = written(new), reach * 2
+    return state.select("id", "units", "total", "depth")
+
+
+def same_units(one: DataFrame, other: DataFrame) -> DataFrame:
+    """terminal, same: whether two traversals (terminal, unit) found the same set of units for it."""
+    a, b = (t.select("terminal", "unit").distinct().withColumn(name, F.lit(True)) for t, name in ((one, "_a"), (other, "_b")))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return a.join(b, ["terminal", "unit"], "full").groupBy("terminal").agg(F.bool_and(both).alias("same"))

@@ -18,6 +18,13 @@ scan AS (SELECT polygon, r AS "row", x1 + (r + 0.5::DOUBLE - y1) / (y2 - y1) * (
 pairs AS (SELECT polygon, "row", list(x ORDER BY x) AS xs FROM scan GROUP BY ALL),
 inside AS (SELECT polygon, "row", unnest(range(CAST(ceil(xs[1] - 0.5) AS BIGINT), CAST(ceil(xs[2] - 0.5) AS BIGINT))) AS col FROM pairs)"""
 
+_REFINED = _TRI + """, mcells AS (SELECT polygon, i.row, i.col, code, acc FROM inside i JOIN cells c ON i.row = c.row AND i.col = c.col),
+o AS (SELECT s_suppkey AS polygon, s_suppkey % 5 + 3.25::DOUBLE AS pr, s_suppkey % 7 + 3.5::DOUBLE AS pc FROM supplier),
+pours AS (SELECT polygon, "row", col FROM (SELECT m.*, row_number() OVER (PARTITION BY polygon ORDER BY (m.row + 0.5::DOUBLE - pr) * (m.row + 0.5::DOUBLE - pr) + (m.col + 0.5::DOUBLE - pc) * (m.col + 0.5::DOUBLE - pc), acc DESC, m.row, m.col) AS p
+  FROM mcells m JOIN o USING (polygon) WHERE acc >= 100000) WHERE p = 1),
+fl AS (SELECT polygon, "row", col, "row" + CASE code WHEN 1 THEN 0 ELSE 1 END AS nr, col + CASE code WHEN 4 THEN 0 ELSE 1 END AS nc FROM mcells WHERE code IS NOT NULL),
+rf AS (SELECT polygon, "row", col FROM pours UNION SELECT rf.polygon, fl.row, fl.col FROM rf JOIN fl ON fl.polygon = rf.polygon AND fl.nr = rf.row AND fl.nc = rf.col)"""
+
 
 def _with(extra: str, select: str) -> str:
     return SQL + ("," + extra if extra else "") + select
@@ -77,4 +84,21 @@ ct AS (SELECT id, count(*) FILTER (tx <= minx AND maxx <= ux AND ty <= miny AND
     "envelope": _with("", "SELECT count(*) AS total, count(unit_id) AS succeeded, count(*) - count(unit_id) AS failed FROM outlets o LEFT JOIN resolved r ON o.outlet_id = r.outlet_id"),
     "basin_sizes_by_arrival": _with(_AREAS, "SELECT date_trunc('hour', ts) AS hour, count(*) AS arrivals, CAST(sum(area) AS BIGINT) AS area FROM events JOIN areas ON user_id = outlet_id GROUP BY 1"),
     "largest_basins": _with(_AREAS, "SELECT nation, outlet_id, units, area FROM (SELECT c_nationkey AS nation, outlet_id, units, area, row_number() OVER (PARTITION BY c_nationkey ORDER BY area DESC, outlet_id) AS p FROM areas JOIN customer ON outlet_id = c_custkey) WHERE p = 1"),
+    "d8_encode": "SELECT o_orderkey AS cell, CASE WHEN abs(r) <= 1 AND abs(c) <= 1 THEN [32, 64, 128, 16, NULL, 1, 8, 4, 2][CAST(3 * r + c + 5 AS INTEGER)] END AS esri, CASE WHEN abs(r) <= 1 AND abs(c) <= 1 THEN [4, 3, 2, 5, NULL, 1, 6, 7, 8][CAST(3 * r + c + 5 AS INTEGER)] END AS taudem, [16, 32, 64, 128, 1, 2, 4, 8, NULL][CAST(o_custkey % 9 + 1 AS INTEGER)] AS back FROM (SELECT *, o_orderkey % 5 - 2 AS r, o_orderkey // 5 % 5 - 2 AS c FROM orders)",
+    "pixel_area": "SELECT s_suppkey AS id, (s_suppkey % 9 + 1) * (s_suppkey % 5 + 1) / 32.0::DOUBLE AS area FROM supplier",
+    "cell_lookup": _with("", "SELECT outlet_id, gy % 40 AS \"row\", gx % 120 AS col, code, acc, CASE WHEN c.row IS NULL THEN 'OutOfBounds' WHEN code IS NULL THEN 'NoData' ELSE 'Data' END AS state FROM outlets LEFT JOIN cells c ON c.row = gy % 40 AND c.col = gx % 120"),
+    "refine_terminals": _with(_REFINED, "SELECT o.polygon, CASE WHEN e.polygon IS NULL THEN 'EmptyMask' WHEN p.polygon IS NULL THEN 'NoStreamCell' ELSE 'Refined' END AS status, p.row AS pour_row, p.col AS pour_col, coalesce(n, 0) AS cells FROM o LEFT JOIN (SELECT DISTINCT polygon FROM mcells) e USING (polygon) LEFT JOIN pours p ON p.polygon = o.polygon LEFT JOIN (SELECT polygon, count(*) AS n FROM rf GROUP BY 1) k ON k.polygon = o.polygon"),
+    "refined_outline": _with(_REFINED + ", pc AS (SELECT polygon, col AS x, \"row\" AS y FROM rf)," + _SIDES.format(key="polygon", cells="pc"), "SELECT polygon, count(*) AS boundary_edges, CAST(sum(x1 * y2 - x2 * y1) // 2 AS BIGINT) AS cells FROM outline GROUP BY polygon"),
+    "refinement_gate": _with("", "SELECT id, CASE WHEN id % 3 = 2 THEN 'Disabled' WHEN id % 4 <> 0 AND id % 5 <> 0 THEN 'Refine' WHEN id % 3 = 1 THEN 'Error' WHEN id % 4 = 0 THEN 'NoD8AuxDeclared' ELSE 'NoRasterSource' END AS gate FROM units"),
+    "self_intersections": """WITH k AS (SELECT o_orderkey AS ring, o_orderkey % 7 AS a, o_orderkey % 5 AS b, o_orderkey % 3 AS c, o_orderkey % 4 AS d, o_orderkey % 2 AS e FROM orders),
+pt AS (SELECT ring, a AS ax, b AS ay, a + 6 AS bx, b + 1 + c AS by_, a + d * 2 AS cx, b + 5 AS cy, a + 5 - c * 3 AS dx, b + 6 + e AS dy FROM k),
+sd AS (SELECT ring, 0 AS seq, ax AS x1, ay AS y1, bx AS x2, by_ AS y2 FROM pt UNION ALL SELECT ring, 1, bx, by_, cx, cy FROM pt UNION ALL SELECT ring, 2, cx, cy, dx, dy FROM pt UNION ALL SELECT ring, 3, dx, dy, ax, ay FROM pt)
+SELECT s.ring, s.seq, t.seq AS other FROM sd s JOIN sd t ON s.ring = t.ring AND s.seq < t.seq
+WHERE sign((s.x2 - s.x1) * (t.y1 - s.y1) - (s.y2 - s.y1) * (t.x1 - s.x1)) * sign((s.x2 - s.x1) * (t.y2 - s.y1) - (s.y2 - s.y1) * (t.x2 - s.x1)) < 0
+  AND sign((t.x2 - t.x1) * (s.y1 - t.y1) - (t.y2 - t.y1) * (s.x1 - t.x1)) * sign((t.x2 - t.x1) * (s.y2 - t.y1) - (t.y2 - t.y1) * (s.x2 - t.x1)) < 0""",
+    "first_origins": "SELECT o_custkey, min_by(o_orderstatus, o_orderkey) AS first_origin, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
+    "largest_part": "WITH " + _TRI + ", ar AS (SELECT polygon, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM te GROUP BY 1) SELECT nation, polygon, area FROM (SELECT s_nationkey AS nation, polygon, area, row_number() OVER (PARTITION BY s_nationkey ORDER BY area DESC, polygon DESC) AS p FROM ar JOIN supplier ON s_suppkey = polygon) WHERE p = 1",
+    "same_units": _with("", "SELECT terminal, bool_and(a.unit IS NOT NULL AND b.unit IS NOT NULL) AS same FROM (SELECT DISTINCT terminal, unit FROM basin) a FULL JOIN (SELECT DISTINCT terminal, unit FROM basin_dag) b USING (terminal, unit) GROUP BY terminal"),
+    "tree_totals": _with("every AS (SELECT id AS terminal, id AS unit, 0 AS depth FROM units UNION ALL SELECT terminal, up, depth + 1 FROM every JOIN tree_edges ON unit = id)", "SELECT terminal AS id, count(*) AS units, CAST(sum(area) AS BIGINT) AS total, CAST(max(depth) AS BIGINT) AS depth FROM every JOIN units ON unit = units.id GROUP BY terminal"),
+    "river_totals": _with("", "SELECT id, count(*) OVER w AS units, CAST(sum(area) OVER w AS BIGINT) AS total, n - id AS depth FROM units, grid WINDOW w AS (ORDER BY id DESC)"),
 }

@@ -164,7 +164,8 @@ def d8_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixel_coord(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = Derived(spark, sf_dir).outlets()
-    return at.select("outlet_id", F.greatest(F.floor(F.col("gx") / 25), F.lit(0)).alias("col"), F.greatest(F.floor((5000 - F.col("gy")) / 25), F.lit(0)).alias("row"))
+    row, col = raster.pixel(F.col("gx"), F.col("gy"), 0, 5000, 25, 25)
+    return at.select("outlet_id", col.alias("col"), row.alias("row"))
 
 
 def _triangles(d: Derived) -> DataFrame:
@@ -292,11 +293,99 @@ def basin_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assemble(_outline(Derived(spark, sf_dir)), "terminal", DEGREES)
 
 
+def d8_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    dr, dc = o % 5 - 2, F.floor(o / 5) % 5 - 2
+    code = F.expr("shiftleft(1, cast(o_custkey % 9 as int))")
+    return Derived(spark, sf_dir).table("orders").select(
+        o.alias("cell"), raster.code_of(dr, dc).alias("esri"), raster.code_of(dr, dc, raster.TAUDEM).alias("taudem"), raster.opposite(code).alias("back")
+    )
+
+
+def pixel_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return Derived(spark, sf_dir).table("supplier").select(k.alias("id"), raster.pixel_area((k % 9 + 1) / 4, -(k % 5 + 1) / 8).alias("area"))
+
+
+def cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Derived(spark, sf_dir)
+    wanted = d.outlets().select("outlet_id", (F.col("gy") % 40).alias("row"), (F.col("gx") % 120).alias("col"))
+    return raster.lookup(wanted, d.cells())
+
+
+def _refined_terminals(d: Derived) -> tuple[DataFrame, DataFrame]:
+    s = F.col("s_suppkey")
+    at = d.table("supplier").select(s.alias("polygon"), (s % 5 + 3.25).cast("double").alias("prow"), (s % 7 + 3.5).cast("double").alias("pcol"))
+    return raster.refine_terminals(at, _triangles(d), d.cells(), 100_000.0, "polygon")
+
+
+def refine_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each terminal's pour point, and how many of its cells drain there."""
+    pours, cells = _refined_terminals(Derived(spark, sf_dir))
+    n = cells.groupBy("polygon").agg(F.count("*").alias("cells"))
+    return pours.join(n, "polygon", "left").select("polygon", "status", "pour_row", "pour_col", F.coalesce("cells", F.lit(0)).alias("cells"))
+
+
+def refined_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundary of each refined terminal: its sides, and its area in cells."""
+    _, cells = _refined_terminals(Derived(spark, sf_dir))
+    sides = dissolve.sides(cells.select("polygon", F.col("col").alias("x"), F.col("row").alias("y")))
+    return dissolve.planar_area(dissolve.boundary(sides, ["polygon"]), ["polygon"]).select("polygon", "boundary_edges", F.col("planar_area").cast("long").alias("cells"))
+
+
+def refinement_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Derived(spark, sf_dir)
+    i = F.col("id")
+    mode = F.element_at(F.array(F.lit("d8-best-effort"), F.lit("d8-required"), F.lit("no-refine")), (i % 3 + 1).cast("int"))
+    return d.units().select("id", raster.refinement_gate(mode, i % 4 != 0, i % 5 != 0).alias("gate"))
+
+
+def self_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sides of four-sided rings, one to an order, that cross."""
+    k = F.col("o_orderkey")
+    p = [(k % 7, k % 5), (k % 7 + 6, k % 5 + 1 + k % 3), (k % 7 + k % 4 * 2, k % 5 + 5), (k % 7 + 5 - k % 3 * 3, k % 5 + 6 + k % 2)]
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("seq"), *[v.alias(n) for v, n in zip((*p[i], *p[(i + 1) % 4]), ("x1", "y1", "x2", "y2"), strict=True)]) for i in range(4)]))
+    edges = Derived(spark, sf_dir).table("orders").select(k.alias("ring"), sides.alias("e")).select("ring", "e.*")
+    return validate.crossings(edges, ["ring"], 8)
+
+
+def first_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.first_origins(Derived(spark, sf_dir).table("orders"), "o_custkey", "o_orderstatus", "o_orderkey")
+
+
+def largest_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest triangle of each nation."""
+    d = Derived(spark, sf_dir)
+    areas = dissolve.planar_area(_triangles(d), ["polygon"]).select("polygon", F.abs("planar_area").alias("area"))
+    nation = d.table("supplier").select(F.col("s_suppkey").alias("polygon"), F.col("s_nationkey").alias("nation"))
+    return dissolve.largest_part(areas.join(nation, "polygon"), "nation", "polygon", "area")
+
+
+def same_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.same_units(upstream_tree(spark, sf_dir), upstream_dag(spark, sf_dir))
+
+
+def _totals(d: Derived, kind: str) -> DataFrame:
+    down = traverse.edge_list(d.graph(kind)).select(F.col("up").alias("id"), F.col("id").alias("down"))
+    return traverse.upstream_totals(d.units().select("id", F.col("area").alias("value")).join(down, "id", "left"))
+
+
+def tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units, area and depth upstream of every unit."""
+    return _totals(Derived(spark, sf_dir), "tree")
+
+
+def river_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on one river through all units, thousands of reaches deep."""
+    return _totals(Derived(spark, sf_dir), "chain")
+
+
 NAMES = [
     select_level, levels, edge_list, bbox_scan, id_lookup, search_bbox, snap_candidates, snap_weight_first, snap_distance_first, pip_strict, pip_boundary_tiebreak, resolve_status,
     upstream_tree, upstream_dag, bfs_rank, same_level_violation, pre_merge, terminal_override, dissolve_boundary, dissolve_planar_area, delineate_area, morton, hilbert, d8_decode,
     pixel_coord, rasterize, mask, snap_pour_point, trace_upstream, polygonize_edges, d8_select, validate_counts, validate_membership, validate_levels, validate_dangling,
     validate_snaps, basin_id_check, default_label, row_group_plan, duplicate_rows, dataset_bbox, envelope, basin_sizes_by_arrival, largest_basins,
-    basin_geometry,
+    basin_geometry, d8_encode, pixel_area, cell_lookup, refine_terminals, refined_outline, refinement_gate, self_intersections, first_origins, largest_part, same_units,
+    tree_totals, river_totals,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

@@ -130,3 +130,28 @@ def test_export_stream_and_command_line(spark, dataset, tmp_path, capsys):
     (tmp_path / "bad.csv").write_text("lat,lon\n99,0\n")
     with pytest.raises(Exception, match="valid lat and lon"):
         read_outlets(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_totals_and_roots_double_their_steps(spark):
+    from tarnflow.operators import traverse
+
+    n = 70
+    links = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(n)] + [(100, 0, None), (200, 999, 5)], "id long, down long, value long")
+    got = {r.id: (r.units, r.total, r.depth) for r in traverse.upstream_totals(links).collect()}
+    assert got == {i: (n - i + (i == 0), sum(range(i, n)), n - 1 - i) for i in range(n)} | {100: (1, None, 0), 200: (1, 5, 0)}
+    assert {r.id: r.root for r in traverse.roots(links).collect()} == {i: 0 for i in [*range(n), 100]} | {200: 999}
+    loop = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1), (4, 3, 1)], "id long, down long, value long")
+    with pytest.raises(ValueError, match="cycle"):
+        traverse.upstream_totals(loop)
+    assert {r.root for r in traverse.roots(loop).collect()} <= {1, 2, 3}
+    assert not traverse.upstream_totals(links.limit(0)).count() and not traverse.roots(links.limit(0)).count()
+
+
+def test_proper_crossings_only(spark):
+    from tarnflow.operators import validate
+
+    bow = [(0, 0, 0, 10, 10), (1, 10, 10, 10, 0), (2, 10, 0, 0, 10), (3, 0, 10, 0, 0)]
+    touch = [(0, 0, 0, 10, 0), (1, 10, 0, 5, 0), (2, 5, 0, 5, 9), (3, 5, 9, 0, 0)]  # sides that meet or overlap do not cross
+    rows = [("bow", *e) for e in bow] + [("touch", *e) for e in touch]
+    edges = spark.createDataFrame(rows, "ring string, seq int, x1 long, y1 long, x2 long, y2 long")
+    assert [tuple(r) for r in validate.crossings(edges, ["ring"], 4).collect()] == [("bow", 0, 2)]
