@@ -39,17 +39,39 @@ class Options:
 CELL = 0.1  # degrees: the grid on which outlets and boxes meet
 
 
+def _points(data: bytes) -> np.ndarray:
+    """The points of a Point or LineString."""
+    order = "<" if data[0] == 1 else ">"
+    kind = np.frombuffer(data, order + "u4", 1, 1)[0]
+    at, n = (5, 1) if kind == 1 else (9, int(np.frombuffer(data, order + "u4", 1, 5)[0]))
+    return np.frombuffer(data, order + "f8", 2 * n, at).reshape(n, 2)
+
+
+def _bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """id and the 32-bit bounds of each geometry."""
+    for pdf in batches:
+        out = []
+        for data in pdf["geometry"]:
+            kind = int.from_bytes(data[1:5], "little" if data[0] == 1 else "big")
+            p = _points(data) if kind in (1, 2) else np.array([q for polygon in geometry.from_wkb(data) for ring in polygon for q in ring])
+            (a, c), (b, d) = geometry.outward(*(float(f(p[:, 0])) for f in (np.min, np.max))), geometry.outward(*(float(f(p[:, 1])) for f in (np.min, np.max)))
+            out.append((a, b, c, d))
+        yield pd.DataFrame(out, columns=["bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy"]).assign(id=pdf["id"].to_numpy())
+
+
 def _meeting(outlets: DataFrame, boxes: DataFrame, half_x, half_y) -> DataFrame:
     """Outlets with the rows whose 32-bit bounds touch the box around them, by an equi-join on grid cells. The box ends at the
-    edges of the world, and an outlet outside it meets nothing; near a pole it is a whole circle of cells. Only cells, ids and
-    bounds are dealt out; the other columns of the rows join the pairs that are left."""
+    edges of the world, and an outlet outside it meets nothing; near a pole it is a whole circle of cells. Rows without bounds take
+    those of their geometry. Only cells, ids and bounds are dealt out; the other columns join the pairs that are left."""
     grid = lambda a, b: F.sequence(F.floor(a / CELL), F.floor(b / CELL))
     low = lambda c, bound: F.greatest(c, F.lit(-bound))
     high = lambda c, bound: F.least(c, F.lit(bound))
     box = ((low(F.col("lon") - half_x, 180.0), "ox1"), (high(F.col("lon") + half_x, 180.0), "ox2"), (low(F.col("lat") - half_y, 90.0), "oy1"), (high(F.col("lat") + half_y, 90.0), "oy2"))
     o = outlets.where("lon between -180 and 180 and lat between -90 and 90").select("*", *[c.alias(n) for c, n in box])
     o = o.withColumn("cx", F.explode(grid(F.col("ox1"), F.col("ox2")))).withColumn("cy", F.explode(grid(F.col("oy1"), F.col("oy2"))))
-    narrow = boxes.select("id", "bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy")
+    bounds = ["bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy"]
+    bare = F.greatest(*[F.col(c).isNull() for c in bounds])
+    narrow = boxes.where(~bare).select("id", *bounds).unionByName(boxes.where(bare & F.col("geometry").isNotNull()).select("id", "geometry").mapInPandas(_bounds, f"id {dict(boxes.dtypes)['id']}, " + ", ".join(f"{c} float" for c in bounds)))
     b = narrow.withColumn("cx", F.explode(grid(F.col("bbox_minx"), F.col("bbox_maxx")))).withColumn("cy", F.explode(grid(F.col("bbox_miny"), F.col("bbox_maxy"))))
     hit = o.join(b, ["cx", "cy"]).where("bbox_minx <= ox2 and bbox_maxx >= ox1 and bbox_miny <= oy2 and bbox_maxy >= oy1")
     hit = hit.select(*outlets.columns, "id").dropDuplicates(["outlet_id", "id"])
@@ -83,11 +105,8 @@ def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = []
         for data, x, y in zip(pdf["geometry"], pdf["lon"], pdf["lat"], strict=True):
-            order = "<" if data[0] == 1 else ">"
-            kind = np.frombuffer(data, order + "u4", 1, 1)[0]
-            at, n = (5, 1) if kind == 1 else (9, int(np.frombuffer(data, order + "u4", 1, 5)[0]))
-            p = np.frombuffer(data, order + "f8", 2 * n, at).reshape(n, 2)
-            if n > 1:
+            p = _points(data)
+            if len(p) > 1:
                 a, d = p[:-1], np.diff(p, axis=0)
                 size = (d**2).sum(1)
                 t = np.clip(((np.array([x, y]) - a) * d).sum(1) / np.where(size > 0, size, 1), 0, 1)

@@ -29,6 +29,22 @@ class FabricError(Exception):
         self.code = code
 
 
+#: Columns that a table may lack; they read as null.
+OPTIONAL = {"parent_id", "up_area_km2", "outlet_lon", "outlet_lat", "stem_role", "bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy"}
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table in the columns of schema. A column that is missing (unless optional) or of another type is an error; Spark
+    would read the former as null and fail on the latter in the middle of a job. One footer is read for it."""
+    have, want = {f.name: f.dataType for f in spark.read.parquet(path).schema}, spark.createDataFrame([], schema).schema
+    for f in want:
+        if f.name not in have and f.name not in OPTIONAL:
+            raise FabricError("SCHEMA", f"{path} has no column {f.name}")
+        if f.name in have and have[f.name].simpleString() != f.dataType.simpleString():
+            raise FabricError("SCHEMA", f"{path}: {f.name} is {have[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    return spark.read.schema(want).parquet(path)
+
+
 def check_source(uri: str) -> str:
     """The dataset's root: a path, or a file, s3a, abfss, gs, hdfs or viewfs URI; s3 is read as s3a."""
     scheme = urlparse(uri).scheme
@@ -79,10 +95,10 @@ class Fabric:
         root = check_source(uri).rstrip("/")
         text = "\n".join(r[0] for r in spark.read.text(f"{root}/manifest.json", wholetext=True).collect())
         manifest = parse_manifest(text)
-        units, graph = spark.read.schema(UNITS).parquet(f"{root}/catchments.parquet"), spark.read.schema(GRAPH).parquet(f"{root}/graph.parquet")
+        units, graph = read_table(spark, f"{root}/catchments.parquet", UNITS), read_table(spark, f"{root}/graph.parquet", GRAPH)
         snaps = None
         for aux in sorted((a for a in manifest["auxiliary"] if a["schema"] == SNAP_SCHEMA), key=lambda a: (a["metadata"].get("name", ""), a["artifacts"]["snap"])):
-            table = spark.read.schema(SNAPS).parquet(f"{root}/{aux['artifacts']['snap']}")
+            table = read_table(spark, f"{root}/{aux['artifacts']['snap']}", SNAPS)
             table = table.withColumn("declared", F.lit(aux["metadata"].get("name"))).withColumn("references_levels", F.array(*[F.lit(x) for x in aux["metadata"].get("references_levels", [])]).cast("array<int>"))
             snaps = table if snaps is None else snaps.unionByName(table)
         fabric = Fabric(manifest, units, graph, snaps)

@@ -155,3 +155,34 @@ def test_proper_crossings_only(spark):
     rows = [("bow", *e) for e in bow] + [("touch", *e) for e in touch]
     edges = spark.createDataFrame(rows, "ring string, seq int, x1 long, y1 long, x2 long, y2 long")
     assert [tuple(r) for r in validate.crossings(edges, ["ring"], 4).collect()] == [("bow", 0, 2)]
+
+
+def rewritten(root, name, change):
+    pq.write_table(change(pq.read_table(root / name)), root / name)
+
+
+@pytest.mark.parametrize("snaps", [False, True])
+def test_rows_without_bounds_take_those_of_their_geometry(spark, tmp_path, snaps):
+    root = write_dataset(tmp_path, snaps=snaps)
+    points = outlets(spark, (0.5, 0.5), (1.5, 0.5), (9, 9))
+    want = sorted(map(str, delineate_batch(Fabric.open(spark, str(root)), points).collect()))
+
+    def bare(t):
+        i = t.schema.get_field_index("bbox_minx")
+        return t.set_column(i, "bbox_minx", pa.array([None, *t["bbox_minx"].to_pylist()[1:]], pa.float32()))
+
+    rewritten(root, "snap.parquet" if snaps else "catchments.parquet", bare)
+    assert sorted(map(str, delineate_batch(Fabric.open(spark, str(root)), points).collect())) == want
+
+
+def test_schemas_are_checked(spark, tmp_path):
+    root = write_dataset(tmp_path)
+    rewritten(root, "catchments.parquet", lambda t: t.drop_columns(["up_area_km2"]))
+    Fabric.open(spark, str(root))
+    rewritten(root, "catchments.parquet", lambda t: t.drop_columns(["area_km2"]))
+    with pytest.raises(FabricError, match="no column area_km2"):
+        Fabric.open(spark, str(root))
+    root = write_dataset(tmp_path)
+    rewritten(root, "graph.parquet", lambda t: t.set_column(0, "id", t["id"].cast(pa.string())))
+    with pytest.raises(FabricError, match="id is string, not bigint"):
+        Fabric.open(spark, str(root))
