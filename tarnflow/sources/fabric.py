@@ -30,7 +30,7 @@ class FabricError(Exception):
 
 
 #: Columns that a table may lack; they read as null.
-OPTIONAL = {"parent_id", "up_area_km2", "outlet_lon", "outlet_lat", "stem_role", "bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy"}
+OPTIONAL = {"parent_id", "outlet_lon", "outlet_lat", "stem_role", "bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy"}
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -177,7 +177,7 @@ def test_rows_without_bounds_take_those_of_their_geometry(spark, tmp_path, snaps
 
 def test_schemas_are_checked(spark, tmp_path):
     root = write_dataset(tmp_path)
-    rewritten(root, "catchments.parquet", lambda t: t.drop_columns(["up_area_km2"]))
+    rewritten(root, "catchments.parquet", lambda t: t.drop_columns(["parent_id"]))
     Fabric.open(spark, str(root))
     rewritten(root, "catchments.parquet", lambda t: t.drop_columns(["area_km2"]))
     with pytest.raises(FabricError, match="no column area_km2"):
