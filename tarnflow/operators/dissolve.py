@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import dealt
+
 
 def sides(cells: DataFrame) -> DataFrame:
     """The four directed, counter-clockwise unit sides x1, y1, x2, y2 of each row's cell (x, y)."""
@@ -33,7 +35,7 @@ def terminal_override(premerge: DataFrame, refined: DataFrame) -> DataFrame:
     """premerge (terminal, unit, area) with the terminal's own area replaced where refined (terminal, area) has one."""
     r = refined.select("terminal", F.col("area").alias("refined"))
     area = F.when(F.col("unit") == F.col("terminal"), F.coalesce("refined", "area")).otherwise(F.col("area"))
-    return premerge.join(r, "terminal", "left").withColumn("area", area).drop("refined")
+    return premerge.join(dealt(r), "terminal", "left").withColumn("area", area).drop("refined")
 
 
 def largest_part(parts: DataFrame, key: str, part: str, area: str) -> DataFrame:
