@@ -188,6 +188,26 @@ def test_schemas_are_checked(spark, tmp_path):
         Fabric.open(spark, str(root))
 
 
+NOT_BROADCAST = ["id_lookup", "snap_candidates", "snap_weight_first", "snap_distance_first", "pip_strict", "pip_boundary_tiebreak", "resolve_status", "envelope", "delineate_area", "largest_basins",
+                 "basin_sizes_by_arrival", "upstream_tree", "upstream_dag", "bfs_rank", "pre_merge", "terminal_override", "dissolve_boundary", "dissolve_planar_area", "same_units", "tree_totals",
+                 "river_totals"]
+
+
+@pytest.mark.parametrize("name", NOT_BROADCAST)
+def test_tables_that_grow_do_not_pass_the_driver(spark, sf_dir, monkeypatch, name):
+    from tarnflow import registry
+    from tarnflow.operators import raster, traverse
+    from tarnflow.plans import queries
+
+    plans, real = [], traverse.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (traverse, raster, queries):
+        monkeypatch.setattr(module, "written", lambda df: plan(df) or real(df))
+    monkeypatch.setattr(traverse, "SHORT", -1, raising=False)
+    plan(registry.QUERIES[name](spark, sf_dir))
+    assert not [p for p in plans if "BroadcastExchange" in p or "UnionLoop" in p]
+
+
 def reached(up, start):
     seen, todo = set(), [start]
     while todo:
