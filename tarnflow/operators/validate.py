@@ -36,13 +36,14 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
 def crossings(edges: DataFrame, keys: list[str], cell: int) -> DataFrame:
     """Pairs (seq, other) of the edges (keys, seq, x1, y1, x2, y2) of a ring that cross properly: the ends of each lie on
     different sides of the other. Edges meet on the grid cells that their boxes touch, not all with all."""
+    # One exchange serves both sides of the join.
     grid = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
-    dealt = edges.select(*keys, "seq", "x1", "y1", "x2", "y2", grid(F.col("x1"), F.col("x2")).alias("cx")).withColumn("cy", grid(F.col("y1"), F.col("y2")))
+    dealt = edges.select(*keys, "seq", "x1", "y1", "x2", "y2", grid(F.col("x1"), F.col("x2")).alias("cx")).withColumn("cy", grid(F.col("y1"), F.col("y2"))).repartition(*keys, "cx", "cy")
     other = dealt.select(*keys, "cx", "cy", F.col("seq").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")])
     turn = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
     mine = turn("x1", "y1", "x2", "y2", "ox1", "oy1") * turn("x1", "y1", "x2", "y2", "ox2", "oy2")
     theirs = turn("ox1", "oy1", "ox2", "oy2", "x1", "y1") * turn("ox1", "oy1", "ox2", "oy2", "x2", "y2")
-    return dealt.join(other, [*keys, "cx", "cy"]).where((F.col("seq") < F.col("other")) & (mine < 0) & (theirs < 0)).select(*keys, "seq", "other").distinct()
+    return dealt.join(other.hint("merge"), [*keys, "cx", "cy"]).where((F.col("seq") < F.col("other")) & (mine < 0) & (theirs < 0)).select(*keys, "seq", "other").distinct()
 
 
 def first_origins(rows: DataFrame, key: str, origin: str, order: str) -> DataFrame:

@@ -254,3 +254,12 @@ def test_outlets_at_one_place_share_a_search(spark, monkeypatch):
     monkeypatch.setattr(raster, "dealt", lambda df: kept.append(df) or real(df))
     got = raster.snap_pour_point(outlets, cells, 5.0, 3).collect()
     assert sorted(map(tuple, got)) == [(i, 1, 2, 7.0, 1.0) for i in range(500)] and min(k.count() for k in kept) == 1
+
+
+def test_crossings_are_dealt_out_once(spark):
+    from tarnflow.operators import validate
+
+    edges = spark.createDataFrame([("bow", 0, 0, 0, 10, 10), ("bow", 1, 10, 0, 0, 10)], "ring string, seq int, x1 long, y1 long, x2 long, y2 long")
+    got = validate.crossings(edges, ["ring"], 4)
+    assert [tuple(r) for r in got.collect()] == [("bow", 0, 1)]
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
