@@ -88,47 +88,66 @@ def _authalic(s: np.ndarray, e2: float) -> np.ndarray:
     return (1 - e2) * (s / (1 - e2 * s * s) + np.arctanh(e * s) / e)
 
 
-def geodesic_ring_area(ring: Ring, points: int = 24) -> float:
-    """Signed area in km2 of a ring of (lon, lat) degrees whose sides are geodesics of the ellipsoid: the authalic integral
-    over longitude along each side, by Gauss-Legendre points on the auxiliary sphere."""
+def geodesic_ring_areas(rings: list[Ring], points: int = 24, block: int = 1 << 15) -> list[float]:
+    """Signed areas in km2 of rings of (lon, lat) degrees whose sides are geodesics of the ellipsoid: the authalic integral
+    over longitude along each side, by Gauss-Legendre points on the auxiliary sphere. The sides of all rings are worked on
+    together; each ring's steps and sums are its own, so that its area does not depend on the others."""
+    if not rings:
+        return []
     f, e2 = FLATTENING, FLATTENING * (2 - FLATTENING)
-    p = np.radians(np.asarray(ring, float))
+    p, of = np.radians(np.concatenate([np.asarray(r, float) for r in rings])), np.repeat(np.arange(len(rings)), [len(r) for r in rings])
     lon, beta = p[:, 0], np.arctan((1 - f) * np.tan(p[:, 1]))
     b1, b2, span = beta[:-1], beta[1:], np.diff(lon)
-    live = np.abs(span) > 1e-15
-    b1, b2, span = b1[live], b2[live], span[live]
-    if not len(span):
-        return 0.0
-    s1, c1, s2, c2, w = np.sin(b1), np.cos(b1), np.sin(b2), np.cos(b2), span.copy()
+    live = (of[:-1] == of[1:]) & (np.abs(span) > 1e-15)
+    b1, b2, span, of = b1[live], b2[live], span[live], of[:-1][live]
+    s1, c1, s2, c2, w, arc, at = np.sin(b1), np.cos(b1), np.sin(b2), np.cos(b2), span.copy(), np.zeros(len(span)), np.arange(len(span))
     for _ in range(50):  # the longitude on the sphere, by Vincenty's series
-        east, north = c2 * np.sin(w), c1 * s2 - s1 * c2 * np.cos(w)
-        sin_arc, cos_arc = np.hypot(east, north), s1 * s2 + c1 * c2 * np.cos(w)
-        arc = np.arctan2(sin_arc, cos_arc)
-        sin_a = c1 * c2 * np.sin(w) / sin_arc
+        if not len(at):
+            break
+        t1, d1, t2, d2, v = s1[at], c1[at], s2[at], c2[at], w[at]
+        east, north = d2 * np.sin(v), d1 * t2 - t1 * d2 * np.cos(v)
+        sin_arc, cos_arc = np.hypot(east, north), t1 * t2 + d1 * d2 * np.cos(v)
+        arc[at] = along = np.arctan2(sin_arc, cos_arc)
+        sin_a = d1 * d2 * np.sin(v) / sin_arc
         cos2 = 1 - sin_a**2
-        middle = np.where(cos2 > 1e-18, cos_arc - 2 * s1 * s2 / np.where(cos2 > 1e-18, cos2, 1), 0.0)
+        middle = np.where(cos2 > 1e-18, cos_arc - 2 * t1 * t2 / np.where(cos2 > 1e-18, cos2, 1), 0.0)
         c = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
-        new = span + (1 - c) * f * sin_a * (arc + c * sin_arc * (middle + c * cos_arc * (2 * middle**2 - 1)))
-        done = np.abs(new - w).max() < 1e-15
-        w = new
-        if done:
-            break
+        w[at] = new = span[at] + (1 - c) * f * sin_a * (along + c * sin_arc * (middle + c * cos_arc * (2 * middle**2 - 1)))
+        worst = np.zeros(len(rings))
+        np.maximum.at(worst, of[at], np.abs(new - v))
+        at = at[~(worst < 1e-15)[of[at]]]
     azimuth = np.arctan2(c2 * np.sin(w), c1 * s2 - s1 * c2 * np.cos(w))
     sin_0 = np.sin(azimuth) * c1
     cos_0 = np.sqrt(np.maximum(0, 1 - sin_0**2))
     start = np.arctan2(s1, np.cos(azimuth) * c1)
     x, weight = np.polynomial.legendre.leggauss(points)
-    sigma = start[:, None] + arc[:, None] * (x + 1) / 2
-    sin_b = cos_0[:, None] * np.sin(sigma)
-    cos2_b = 1 - sin_b**2
-    sin_lat = sin_b / np.sqrt(sin_b**2 + (1 - f) ** 2 * cos2_b)
-    rate = sin_0[:, None] * np.sqrt(1 - e2 * cos2_b) / cos2_b
-    return -float((AXIS**2 / 2) * ((_authalic(sin_lat, e2) * rate * weight).sum(1) * arc / 2).sum())
+    sides = np.zeros(len(span))
+    for i in range(0, len(span), block):
+        k = slice(i, i + block)
+        sigma = start[k, None] + arc[k, None] * (x + 1) / 2
+        sin_b = cos_0[k, None] * np.sin(sigma)
+        cos2_b = 1 - sin_b**2
+        sin_lat = sin_b / np.sqrt(sin_b**2 + (1 - f) ** 2 * cos2_b)
+        rate = sin_0[k, None] * np.sqrt(1 - e2 * cos2_b) / cos2_b
+        sides[k] = (_authalic(sin_lat, e2) * rate * weight).sum(1) * arc[k] / 2
+    ends = np.searchsorted(of, np.arange(len(rings) + 1))
+    return [-float((AXIS**2 / 2) * sides[i:j].sum()) if j > i else 0.0 for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def geodesic_areas(shapes: list[list[Polygon]]) -> list[float]:
+    """Unsigned areas in km2 of lists of polygons, holes taken off."""
+    area = iter(geodesic_ring_areas([r for polygons in shapes for p in polygons for r in p]))
+    return [sum(abs(next(area)) - sum(abs(next(area)) for _ in p[1:]) for p in polygons) for polygons in shapes]
+
+
+def geodesic_ring_area(ring: Ring, points: int = 24) -> float:
+    """The signed area in km2 of one ring."""
+    return geodesic_ring_areas([ring], points)[0]
 
 
 def geodesic_area(polygons: list[Polygon]) -> float:
     """Unsigned area in km2, holes taken off."""
-    return sum(abs(geodesic_ring_area(p[0])) - sum(abs(geodesic_ring_area(h)) for h in p[1:]) for p in polygons)
+    return geodesic_areas([polygons])[0]
 
 
 def to_wkb(polygons: list[Polygon]) -> bytes:

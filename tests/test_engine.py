@@ -263,3 +263,22 @@ def test_crossings_are_dealt_out_once(spark):
     got = validate.crossings(edges, ["ring"], 4)
     assert [tuple(r) for r in got.collect()] == [("bow", 0, 1)]
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_basins_of_a_batch_are_assembled_together(spark):
+    """Basins that go on in the next batch, and each ring's area as if it were alone."""
+    from tarnflow.operators import assemble, dissolve
+
+    cells = [(t, t * 3 + i % (t + 1), t % 50 + i // (t + 1)) for t in range(40) for i in range(2 * t + 2)]
+    outline = dissolve.boundary(dissolve.sides(spark.createDataFrame(cells, "terminal long, x long, y long")), ["terminal"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        table = assemble.assemble(outline, "terminal", 0.1)
+        assert "FlatMapGroupsInPandas" not in table._jdf.queryExecution().executedPlan().toString()
+        got = {r.terminal: r for r in table.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 40
+    for t, r in got.items():
+        shape = geometry.canonical([[[(x * 0.1, y * 0.1) for x, y in box(t * 3, t % 50, t * 4 + 1, t % 50 + 2)]]])
+        assert geometry.from_wkb(r.geometry) == shape and r.area_km2 == geometry.geodesic_area(shape)
