@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnflow.llm import components, exact_dedup, hamming, language_id, line_dedup, mixing, packing, quality_lm, quality_rules, simhash, token_counts, toxicity
+from tarnflow.llm import components, editing, exact_dedup, hamming, language_id, line_dedup, mixing, packing, quality_lm, quality_rules, simhash, token_counts, toxicity
 from tarnflow.llm.common import documents, labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -339,6 +339,45 @@ def test_edit_distances():
     assert line_dedup.within(long, long[:30_000] + " one more" + long[30_000:], 9) and not line_dedup.within(long, long[::-1], 100)
 
 
+def test_line_dedup_rows_do_not_grow_with_pairs(spark, monkeypatch):
+    """Lines that share a passage and are not alike are compared with each other, but no table has a row a pair."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    passage, n = [word() for _ in range(24)], 150
+    lines = [" ".join([*(word() for _ in range(8)), *passage, *(word() for _ in range(8))]) for _ in range(n)]
+    lines += [" ".join([*lines[0].split()[:2], word(), *lines[0].split()[3:]])]
+    made, stash = [], line_dedup.stash
+
+    def counted(df):
+        out = stash(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stash", counted)
+    got = line_dedup.line_report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept_in for r in got if r.n_removed} == {n: [0]}
+    assert max(made) <= 2 * line_dedup.BLOCKS * len(lines) < n * (n - 1) / 2, made
+
+
+def test_edit_distances_of_many_pairs():
+    rng, xs, ys, most = np.random.default_rng(12), [], [], []
+    for _ in range(600):
+        letters = ["ab", "abcdefgh ", "aé天\U0001f600bc"][rng.integers(3)]
+        x = rng.choice(list(letters), rng.integers(0, 400)).tolist()
+        y = list(x)
+        for _ in range(rng.integers(0, 50)):
+            k = rng.integers(0, len(y) + 1)
+            y[k : k + rng.integers(0, 3)] = rng.choice(list(letters), rng.integers(0, 3)).tolist()
+        xs.append("".join(x))
+        ys.append("".join(y))
+        most.append(int(rng.integers(0, 70)))
+    xs += ["a" * 320 + "b", "a" * 200, "", ""]  # carries through whole words
+    ys += ["c" + "a" * 320, "b" + "a" * 199 + "c", "", "abc"]
+    most += [2, 1, 0, 2]
+    got = editing.all_within(xs, ys, most, line_dedup.within)
+    assert got.tolist() == [line_dedup.within(x, y, d) for x, y, d in zip(xs, ys, most, strict=True)] and 100 < got.sum() < 500
+
+
 @pytest.mark.parametrize("hot", [line_dedup.HOT, 8])
 def test_line_dedup_groups_of_near_copies(spark, hot):
     """A hub of copies that differ from it in a few words each, and chains of lines of which only neighbours are alike."""
