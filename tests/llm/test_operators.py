@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -378,6 +380,50 @@ def test_edit_distances_of_many_pairs():
     assert got.tolist() == [line_dedup.within(x, y, d) for x, y, d in zip(xs, ys, most, strict=True)] and 100 < got.sum() < 500
 
 
+def test_edit_distances_look_at_a_band_only(monkeypatch):
+    """The bits a pair takes go with the distance that is asked for, not with its length; bands of many words agree with whole tables."""
+    rng, seen, near = np.random.default_rng(13), [], editing._near
+
+    def looked(up, *rest):
+        seen.append(up.shape[0])
+        return near(up, *rest)
+
+    monkeypatch.setattr(editing, "_near", looked)
+    text = "".join(rng.choice(list("abcd"), 2000))
+    assert editing.all_within(["b" + text[1:-1] + "b"], ["c" + text[2:] + "c"], [40], line_dedup.within).all() and set(seen) == {1}
+    xs, ys, most = [], [], []
+    for _ in range(300):
+        x = rng.choice(list("ab" if rng.random() < 0.5 else "abcdefghijkl"), rng.integers(100, 700)).tolist()
+        y = list(x)
+        for _ in range(rng.integers(1, 60)):
+            k = rng.integers(0, len(y) + 1)
+            y[k : k + rng.integers(0, 8)] = rng.choice(list("abc"), rng.integers(0, 8)).tolist()
+        xs.append("".join(x))
+        ys.append("".join(y))
+        most.append(int(rng.integers(0, 250)))
+    xs += ["a" * 400 + "b", "a" * 600 + "b"]  # carries through words of ones
+    ys += ["c" + "a" * 500, "c" + "a" * 401 + "d" + "a" * 200]
+    most += [102, 250]
+    assert editing.all_within(xs, ys, most, line_dedup.within).tolist() == [line_dedup.within(x, y, d) for x, y, d in zip(xs, ys, most, strict=True)]
+    assert max(seen) > 2
+
+
+def test_line_dedup_keeps_marks_of_distinct_lines_only(spark, monkeypatch):
+    """Marks of all occurrences go when those of the distinct lines are there, and keys take 40 bits each."""
+    keys, _ = line_dedup.sketches([f"line {n} of some words that are not alike" for n in range(50)])
+    words = line_dedup._packed(keys)
+    assert words.shape[1] == 8 and (line_dedup._unpacked(words).T == (keys & (1 << 40) - 1)).all()
+    table = spark.createDataFrame(pd.DataFrame(words, columns=line_dedup._WORDS))
+    assert [r.k for r in table.select(line_dedup._keys().alias("k")).collect()] == keys.tolist()
+    made, stash = [], line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df: made.append(stash(df)) or made[-1])
+    docs = [(n, f"the same line in all of these texts\nand line {n} that is of this text alone") for n in range(40)]
+    got = line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(r.n_removed for r in got) >= 39
+    paths = [df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://") for df in made if len(line_dedup._WORDS) < len(df.columns)]
+    assert len(paths) == 2 and [os.path.exists(path) for path in paths] == [False, True]
+
+
 @pytest.mark.parametrize("hot", [line_dedup.HOT, 8])
 def test_line_dedup_groups_of_near_copies(spark, hot):
     """A hub of copies that differ from it in a few words each, and chains of lines of which only neighbours are alike."""
