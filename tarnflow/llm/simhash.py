@@ -66,8 +66,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component; columns as given. Of rows that repeat a doc_id and text one
     stays."""
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_near_id"), F.col("t").alias("_near_t"))
-    t = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_near_text", t).join(found, (F.col("_near_text") == F.col("_near_t")) & F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi")
-    one = Window.partitionBy("doc_id", "_near_text").orderBy(F.lit(0))
-    return rows.withColumn("_near_n", F.row_number().over(one)).where("_near_n = 1").drop("_near_n", "_near_text")
+    names, keys = docs.columns, ["_near_id", "_near_none", "_near_text"]
+    key = lambda text: (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[0]), F.col("doc_id").isNull().alias(keys[1]), text.alias(keys[2]))
+    found = near_duplicates(docs).where("kept").select(*key(F.col("t")))
+    rows = docs.select("*", *key(F.xxhash64(F.coalesce("text", F.lit(""))))).join(found, keys, "left_semi")
+    one = Window.partitionBy(*keys).orderBy(F.lit(0))  # by the keys of the join, so that texts are dealt once
+    return rows.withColumn("_near_n", F.row_number().over(one)).where("_near_n = 1").select(*[F.col(f"`{c}`") for c in names])

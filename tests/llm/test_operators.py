@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarnflow.llm import components, editing, exact_dedup, hamming, language_id, line_dedup, mixing, packing, quality_lm, quality_rules, simhash, token_counts, toxicity
-from tarnflow.llm.common import documents, labels
+from tarnflow.llm.common import documents, labels, shared_dir, stash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "lorem ipsum dolor " * 8000
@@ -424,6 +425,38 @@ def test_line_dedup_keeps_marks_of_distinct_lines_only(spark, monkeypatch):
     assert len(paths) == 2 and [os.path.exists(path) for path in paths] == [False, True]
 
 
+def test_stash_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {f for f in (files.apply(k).getName() for k in range(files.size())) if f.startswith("shuffle_")}
+
+    before = shuffles()
+    assert stash(spark.range(10_000).groupBy(F.col("id") % 7).count()).count() == 7
+    for _ in range(50):  # they go at once, but in another thread; garbage collection, which this test does not ask for, takes minutes
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    left = {f.split("_")[1] for f in shuffles() - before}
+    assert len(left) <= 1, left  # that of the count
+
+
+def test_line_dedup_leaves_only_what_is_still_read(spark):
+    """Of the stashes of line dedup the lines that go are left."""
+    shared = shared_dir(spark).removeprefix("file://")
+    docs = [(n, f"the same line in all of these texts\nand line {n} that is of this text alone") for n in range(40)]
+    stashes = set(os.listdir(shared))
+    out = stash(line_dedup.remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert out.count() == 1 and len(set(os.listdir(shared)) - stashes) == 2
+
+
+def test_near_dedup_deals_texts_once(docs):
+    """The rows that stay are found where the join has dealt the texts."""
+    plan = simhash.deduplicate(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan.split("Window [")[1].split("Exchange")[0]
+
+
 @pytest.mark.parametrize("hot", [line_dedup.HOT, 8])
 def test_line_dedup_groups_of_near_copies(spark, hot):
     """A hub of copies that differ from it in a few words each, and chains of lines of which only neighbours are alike."""
