@@ -2,8 +2,8 @@
 
 Every table is sharded by (language, n-gram) and every step is a join or an aggregation on that key: counts of the highest
 order, continuation counts of the lower ones, context sums, discounts, and the probabilities from the lowest order up. Texts
-are scored against the finished table: where a count shows that it is small it is sent to the executors once, else
-the n-grams of the texts are joined to its shards. A text is kept if its perplexity is at most the language's limit, a
+are scored against the finished table, which is sent to the executors: where a count shows that it is small at once, else in
+parts with a pass over the texts each, so that no n-gram of a text is shuffled. A text is kept if its perplexity is at most the language's limit, a
 multiple of a quantile over the trusted texts of that language.
 """
 
@@ -27,7 +27,7 @@ ORDER, BITS, WIDE, SHARED = 5, 12, 4000, 95
 #: Kept up to SLACK times this quantile of the trusted texts' perplexities; times e to SHORT / sqrt(characters), as the
 #: perplexity of a short text scatters.
 QUANTILE, SLACK, SHORT, ACCURACY = 0.9, 1.2, 1.5, 10_000
-#: A table of more rows is not sent to the executors (16 bytes each).
+#: A table of more rows is not sent to the executors at once (16 bytes each).
 SMALL = 3_000_000
 CLASSES = WIDE + SHARED + 1
 
@@ -121,14 +121,18 @@ class Scorer:
             slots.add(key, np.arange(len(key), dtype=np.int32))
             self.tables.setdefault(lang, {})[order, kind] = slots, value.astype(np.float64)
 
-    def log_likelihoods(self, lang: str, texts: list[str]) -> np.ndarray | None:
-        """The log probability of each text's characters together; None if the language has no model."""
+    def log_likelihoods(self, lang: str, texts: list[str], mine: np.ndarray | None = None) -> np.ndarray | None:
+        """The log probability of each text's characters together, or of those after a character whose class is marked in mine; None
+        if the language has no model."""
         tables = self.tables.get(lang)
         if tables is None:
             return None
         out = np.zeros(len(texts))
         for a, b in slices(texts):
             key, owner = grams(texts[a:b])
+            if mine is not None:
+                here = mine[key >> BITS & CLASSES - 1]
+                key, owner = key[here], owner[here]
             value, left = np.zeros(len(key)), np.arange(len(key))
             for k in range(ORDER, 0, -1):
                 low = key[left] & ((1 << BITS * k) - 1)
@@ -147,21 +151,78 @@ class Scorer:
         return out
 
 
-def _score(shared: Broadcast, name: str):
+def _score(shared: Broadcast, name: str, columns: list[str]):
+    """Rows with their total; shared holds the arrays of a table, or of a part, and then which characters it serves by language."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = held(("quality_lm", name), lambda: Scorer(shared.value))
+        scorer, mine = held(("quality_lm", name), lambda: (Scorer(shared.value[0]), shared.value[1]))
         for pdf in batches:
             total = np.full(len(pdf), np.nan)
             lang = pdf["lang"].to_numpy()
             for x in pd.unique(lang):
                 of = np.flatnonzero(lang == x)
-                if (got := scorer.log_likelihoods(x, pdf["text"].iloc[of].tolist())) is not None:
+                if (got := scorer.log_likelihoods(x, pdf["text"].iloc[of].tolist(), mine.get(x))) is not None:
                     total[of] = got
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": lang, "n_chars": pdf["n_chars"], "total": total})
+            yield pdf[columns].assign(total=total)
 
     return run
 
 
+def _scored(rows: DataFrame, arrays: dict, mine: dict[str, np.ndarray]) -> DataFrame:
+    """rows (lang, text and others) with total in place of text."""
+    shared = rows.sparkSession.sparkContext.broadcast((arrays, mine))
+    rest = rows.drop("text")
+    schema = ", ".join(f"{c} {kind}" for c, kind in rest.dtypes) + ", total double"
+    return rows.mapInPandas(_score(shared, f"{id(shared)}-{np.random.default_rng().integers(1 << 60)}", rest.columns), schema)
+
+
+def _before() -> Column:
+    """The class of the character before the last of a row's n-gram: that of an n-gram's probabilities and back-off weights in all orders
+    but the first."""
+    return F.when(F.col("kind") == "p", F.shiftright("key", BITS)).otherwise(F.col("key")).bitwiseAND(F.lit(CLASSES - 1)).alias("before")
+
+
+def parts(model: DataFrame, limit: int) -> list[dict[str, np.ndarray]] | None:
+    """Parts of the table of at most limit rows, besides those of order 1, which all parts have: by language the characters (marked by
+    class) whose n-grams a part serves. None if one character of a language has more rows."""
+    counts = model.where("order > 1").groupBy("lang", _before()).count().collect()
+    langs = sorted(r[0] for r in model.select("lang").distinct().collect())
+    rows, out = [], []
+    for r in sorted(counts, key=lambda r: (-r["count"], r["lang"], r["before"])):
+        if r["count"] > limit:
+            return None
+        k = next((k for k, n in enumerate(rows) if n + r["count"] <= limit), len(rows))
+        if k == len(rows):
+            rows.append(0)
+            out.append({x: np.zeros(CLASSES, bool) for x in langs})
+        rows[k] += r["count"]
+        out[k][r["lang"]][r["before"]] = True
+    for x in langs if out else []:  # characters that the table does not know need order 1 only
+        out[0][x] |= ~np.any([part[x] for part in out], axis=0)
+    return out or None
+
+
+def _part(model: DataFrame, part: dict[str, np.ndarray]) -> DataFrame:
+    place = [(x, int(c)) for x, mine in part.items() for c in np.flatnonzero(mine)]
+    place = F.broadcast(model.sparkSession.createDataFrame(place, "lang string, before long"))
+    return model.where("order = 1").unionByName(model.where("order > 1").withColumn("before", _before()).join(place, ["lang", "before"], "left_semi").drop("before"))
+
+
+def totals_by_parts(rows: DataFrame, model: DataFrame, served: list[dict[str, np.ndarray]]) -> DataFrame:
+    """rows (doc_id, lang, n_chars, text) with total in place of text: a pass over the texts for each part of the table. What passes
+    give is joined by the text's hash; rows that repeat a doc_id and text have the same total."""
+    keys = ["doc_id", "lang", "n_chars", "t"]
+    rows, passes = rows.withColumn("t", F.xxhash64("text")), []
+    for part in served:
+        scored = stash(_scored(rows, gathered(_part(model, part)), part))
+        passes.append(scored.groupBy(*keys).agg(F.count("*").alias("n"), F.first("total").alias("total")))
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.unionByName(more)
+    every = every.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("total").alias("total"))
+    return every.select("doc_id", "lang", "n_chars", "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("col")
+
+
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts, tags, langs = pdf["text"].tolist(), pdf["tag"].to_numpy(), pdf["lang"].to_numpy()
@@ -197,8 +258,9 @@ def perplexities(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.char_length(t).cast("long").alias("n_chars"), t.alias("text"))
     if model.count() <= limit:
-        shared = docs.sparkSession.sparkContext.broadcast(gathered(model))
-        scored = rows.mapInPandas(_score(shared, f"{id(shared)}-{np.random.default_rng().integers(1 << 60)}"), "doc_id long, lang string, n_chars long, total double")
+        scored = _scored(rows, gathered(model), {})
+    elif served := parts(model, limit):
+        scored = totals_by_parts(rows, model, served)
     else:
         rows = rows.withColumn("tag", F.monotonically_increasing_id())
         scored = rows.drop("text").join(sharded_totals(rows.select("tag", "lang", "text"), model), "tag", "left")

@@ -620,6 +620,24 @@ def test_kneser_ney_perplexities(spark):
             assert math.isclose(got[i], want, rel_tol=1e-4)
 
 
+def test_perplexities_of_a_table_in_parts(spark, docs, sf_dir, monkeypatch):
+    """A table that is too large to be sent at once is sent in parts; no n-gram of a text is a row, and the figures are the same."""
+    trusted = labels(spark, sf_dir).where("quality = 1").select("doc_id")
+    model = stash(quality_lm.train(docs.join(trusted, "doc_id", "left_semi").select("lang", "text")))
+    odd = spark.createDataFrame([(-1, "", "en"), (-2, "of a language that has no table", "xx"), (None, "漢字 \u4dff", "en"), (-3, None, "de")], "doc_id long, text string, lang string")
+    table = docs.select("doc_id", "text", "lang").unionByName(docs.where("doc_id < 20").select("doc_id", "text", "lang")).unionByName(odd)
+    n = model.where("order > 1").count()
+    served = quality_lm.parts(model, n // 4)
+    assert 4 <= len(served) < 8 and all(sum(p[x] for p in served).tolist() == [1] * quality_lm.CLASSES for x in served[0])
+    sizes = [quality_lm._part(model, p).where("order > 1").count() for p in served]
+    assert sum(sizes) == n and max(sizes) <= n // 4
+    monkeypatch.setattr(quality_lm, "sharded_totals", None)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.lang, r.n_chars)
+    want, got = (sorted(quality_lm.perplexities(table, model, limit=limit).collect(), key=key) for limit in (quality_lm.SMALL, n // 4))
+    assert [key(r) for r in got] == [key(r) for r in want] and len(got) == table.count()
+    assert all((a.perplexity is None) == (b.perplexity is None) and math.isclose(a.perplexity or 1, b.perplexity or 1, rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+
+
 def test_quality_keeps_clean_text(spark, sf_dir, docs, rows):
     trusted = labels(spark, sf_dir).where("quality = 1")
     out = {r.doc_id: r for r in quality_lm.quality(docs, trusted).collect()}
