@@ -409,6 +409,49 @@ def test_edit_distances_look_at_a_band_only(monkeypatch):
     assert max(seen) > 2
 
 
+def test_edit_distances_of_a_few_long_pairs(monkeypatch):
+    """Pairs with other characters are told apart before a column is computed, and few that are left are not dragged through all columns."""
+    rng, near, alone, one = np.random.default_rng(14), [], [], editing.one_within
+    looked = editing._near
+    monkeypatch.setattr(editing, "_near", lambda *a: near.append(1) or looked(*a))
+    monkeypatch.setattr(editing, "one_within", lambda x, y, d: alone.append(one(x, y, d)) or alone[-1])
+    whole = lambda x, y, d: distance(x, y) <= d
+    texts = ["".join(rng.choice(list("abcdefgh"), 700)) for _ in range(40)]
+    assert not editing.all_within(texts, [t.upper() for t in texts], [140] * 40, None).any() and not near and not alone
+    xs, ys, most = [], [], []
+    for x in texts[:12]:
+        y = list(x)
+        for _ in range(rng.integers(60, 200)):
+            k = rng.integers(0, len(y))
+            y[k : k + rng.integers(0, 2)] = rng.choice(list("abcdefgh"), rng.integers(0, 2)).tolist()
+        xs.append(x)
+        ys.append("".join(y))
+        most.append(int(rng.integers(40, 120)))
+    xs, ys, most = xs + texts[:8], ys + texts[8:16], most + [140, 300, 420, 500] * 2
+    got = [x for k in range(0, 20, 5) for x in editing.all_within(xs[k : k + 5], ys[k : k + 5], most[k : k + 5], None).tolist()]
+    assert got == [whole(x, y, d) for x, y, d in zip(xs, ys, most, strict=True)] and 2 < sum(got) < 18 and alone
+    assert [one(*sorted((x, y), key=len), d) for x, y, d in zip(xs, ys, most, strict=True)] == got
+
+
+def test_line_dedup_deals_each_block_once(spark, monkeypatch):
+    """Blocks of lines go to the tasks that pair them, and are no table on the way; keys of many lines are known before."""
+    rng = np.random.default_rng(15)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    lines = [" ".join(word() for _ in range(20)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(lines), *((100 + n, x + " end") for n, x in enumerate(lines))], "doc_id long, text string")
+    made, stash = [], line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df: made.append((out := stash(df), out.count())) or out)
+    assert {r.doc_id: r.kept_in for r in line_dedup.line_report(docs).collect() if r.n_removed} == {100 + n: [n] for n in range(60)}
+    assert max(n for _, n in made) <= 2 * 2 * len(lines), [n for _, n in made]
+    keys = [*range(10), *[3] * 30, *[4] * 6]
+    table = pd.DataFrame(line_dedup._packed(np.array([[k] * line_dedup.BLOCKS for k in keys], np.int64)), columns=line_dedup._WORDS)
+    for hot in (6, 7, 8, 30, 31):
+        got = {(r.key & (1 << 40) - 1, r.key >> 40): r.parts for r in line_dedup._hot_parts(spark.createDataFrame(table).coalesce(2), len(keys), hot).collect()}
+        for k, n in Counter(keys).items():
+            parts = [got.get((k, b), 1) for b in range(line_dedup.BLOCKS)]
+            assert min(parts) >= (2 * n / hot if n > hot else 1) and (2 * n > hot or max(parts) == 1), (hot, k, parts)
+
+
 def test_line_dedup_keeps_marks_of_distinct_lines_only(spark, monkeypatch):
     """Marks of all occurrences go when those of the distinct lines are there, and keys take 40 bits each."""
     keys, _ = line_dedup.sketches([f"line {n} of some words that are not alike" for n in range(50)])
